@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import quality
+from . import quality, secrets, simhash
 from .common import documents
 
 
@@ -14,5 +14,17 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.compression_bands(documents(spark, sf_dir))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op4_quality_rules": op4_quality_rules}
+def op1_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.secret_scan(documents(spark, sf_dir))
+
+
+def op9_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_fingerprints(documents(spark, sf_dir))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_secret_scans": op1_secret_scans,
+    "op4_quality_rules": op4_quality_rules,
+    "op9_document_fingerprints": op9_document_fingerprints,
+}
 ORACLES: dict[str, str] = {}
