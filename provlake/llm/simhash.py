@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from .common import by_slice, distinct_shingles, two, written
 
 BITS = 64
-SHINGLE = 3
+SHINGLE = 1
 RADIUS = 3
 BLOCKS = 6
 
