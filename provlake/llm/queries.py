@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import quality, secrets, simhash
+from . import lines, quality, secrets, simhash
 from .common import documents
 
 
@@ -18,6 +18,10 @@ def op1_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.secret_scan(documents(spark, sf_dir))
 
 
+def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines.repeated_lines(documents(spark, sf_dir))
+
+
 def op9_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_fingerprints(documents(spark, sf_dir))
 
@@ -25,6 +29,7 @@ def op9_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_secret_scans": op1_secret_scans,
     "op4_quality_rules": op4_quality_rules,
+    "op7_line_dedup": op7_line_dedup,
     "op9_document_fingerprints": op9_document_fingerprints,
 }
 ORACLES: dict[str, str] = {}
