@@ -6,10 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import lines, quality, secrets, simhash
+from . import jaccard, lines, packing, quality, secrets, simhash, wavelet
 from .common import documents
 
 
+def op2_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return wavelet.wavelet_shards(documents(spark, sf_dir))
+
+
+def op3_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.jaccard_join(documents(spark, sf_dir))
+
+
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.compression_bands(documents(spark, sf_dir))
 
@@ -18,6 +26,10 @@ def op1_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.secret_scan(documents(spark, sf_dir))
 
 
+def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(documents(spark, sf_dir))
+
+
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.repeated_lines(documents(spark, sf_dir))
 
@@ -28,7 +40,10 @@ def op9_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_secret_scans": op1_secret_scans,
+    "op2_token_ids": op2_token_ids,
+    "op3_ngram_jaccard": op3_ngram_jaccard,
     "op4_quality_rules": op4_quality_rules,
+    "op5_packing": op5_packing,
     "op7_line_dedup": op7_line_dedup,
     "op9_document_fingerprints": op9_document_fingerprints,
 }
