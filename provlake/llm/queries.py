@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import jaccard, lines, packing, quality, secrets, simhash, suffix, wavelet
+from . import jaccard, lines, packing, quality, scoring, secrets, simhash, suffix, wavelet
 from .common import documents
 
 
@@ -30,6 +30,10 @@ def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(documents(spark, sf_dir))
 
 
+def op6_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scoring.pseudo_likelihood(documents(spark, sf_dir))
+
+
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.repeated_lines(documents(spark, sf_dir))
 
@@ -48,6 +52,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_ngram_jaccard": op3_ngram_jaccard,
     "op4_quality_rules": op4_quality_rules,
     "op5_packing": op5_packing,
+    "op6_lm_scoring": op6_lm_scoring,
     "op7_line_dedup": op7_line_dedup,
     "op9_document_fingerprints": op9_document_fingerprints,
     "op10_suffix_array_dedup": op10_suffix_array_dedup,
