@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import jaccard, lines, packing, quality, scoring, secrets, simhash, suffix, wavelet
+from . import jaccard, lines, packing, pieces, quality, scoring, secrets, simhash, suffix, wavelet
 from .common import documents
 
 
@@ -38,6 +38,10 @@ def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.repeated_lines(documents(spark, sf_dir))
 
 
+def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.sampled_pieces(documents(spark, sf_dir))
+
+
 def op9_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_fingerprints(documents(spark, sf_dir))
 
@@ -54,6 +58,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_packing": op5_packing,
     "op6_lm_scoring": op6_lm_scoring,
     "op7_line_dedup": op7_line_dedup,
+    "op8_sentencepiece": op8_sentencepiece,
     "op9_document_fingerprints": op9_document_fingerprints,
     "op10_suffix_array_dedup": op10_suffix_array_dedup,
 }
