@@ -62,4 +62,15 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_document_fingerprints": op9_document_fingerprints,
     "op10_suffix_array_dedup": op10_suffix_array_dedup,
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    # every run of 50 words by its text, then passages as stretches of runs whose first occurrences go on side by side
+    "op10_suffix_array_dedup": r"""
+WITH w AS (SELECT doc_id, regexp_extract_all(lower(text), '[0-9a-z\x{80}-\x{10FFFF}]+') AS ws FROM documents WHERE doc_id IS NOT NULL AND text IS NOT NULL),
+g AS (SELECT DISTINCT doc_id, i - 1 AS start, md5(array_to_string(ws[i : i + 49], ' ')) AS h FROM w, unnest(range(1, len(ws) - 48)) t(i)),
+r AS (SELECT doc_id, start, min({'d': doc_id, 's': start}) OVER (PARTITION BY h) AS f FROM g QUALIFY count(*) OVER (PARTITION BY h) > 1),
+n AS (SELECT *, CASE WHEN lag(f.d) OVER o = f.d AND lag(f.s - start) OVER o = f.s - start AND lag(start) OVER o = start - 1 THEN 0 ELSE 1 END AS new FROM r WINDOW o AS (PARTITION BY doc_id ORDER BY start)),
+k AS (SELECT *, sum(new) OVER (PARTITION BY doc_id ORDER BY start) AS island FROM n)
+SELECT doc_id, CAST(min(start) AS BIGINT) AS start_word, CAST(count(*) + 49 AS BIGINT) AS n_words, min(f.d) AS first_doc_id, CAST(min(f.s) AS BIGINT) AS first_start_word, doc_id = min(f.d) AND min(start) = min(f.s) AS is_first
+FROM k GROUP BY doc_id, island
+""",
+}
