@@ -9,7 +9,6 @@ from __future__ import annotations
 import datetime as dt
 import uuid
 from collections.abc import Callable
-from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -21,6 +20,7 @@ from .graph import FeatureGraph
 from .model import FeatureDep, FieldDep, FieldsMapping, Lineage, feature
 from .operators.dedup import keep_latest, tail
 from .operators.increment import Increment, collapse, resolve, tagged
+from .operators.preview import as_text, decoded, partition_filter, top
 from .operators.prepare import carried, prepare, transform
 from .operators.provenance import add_provenance, complete
 from .sources.store import Store
@@ -315,9 +315,22 @@ def version_summary(spark, sf):
 
 @query("SELECT event_type, user_id, value FROM events WHERE event_type IN ('click', 'view') AND user_id = 1")
 def partition_filters(spark, sf):
-    keys = {"event_type": ["click", "view"], "user_id": [1]}
-    cond = reduce(lambda a, b: a & b, [C.col(k) == v[0] if len(v) == 1 else C.col(k).isin(*v) for k, v in keys.items()])
-    return table(spark, sf, "events").where(cond).select("event_type", "user_id", "value")
+    keys = {"event_type": ["click", "view"], "user_id": [1], "value": []}
+    return table(spark, sf, "events").where(partition_filter(keys)).select("event_type", "user_id", "value")
+
+
+@query("SELECT vec_id, '[' || CAST(label AS VARCHAR) || ',' || CAST(label + 1 AS VARCHAR) || ',...,' || CAST(label + 4 AS VARCHAR) || ',' || CAST(label + 5 AS VARCHAR) || ']' AS shown, '{\"id\":' || CAST(vec_id AS VARCHAR) || ',\"label\":' || CAST(label AS VARCHAR) || '}' AS nested FROM embeddings ORDER BY vec_id DESC LIMIT 50")
+def preview_nested(spark, sf):
+    df = table(spark, sf, "embeddings").select("vec_id", F.sequence("label", F.col("label") + 5).alias("shown"), F.struct(F.col("vec_id").alias("id"), "label").alias("nested"))
+    few = top(df, 50, ["vec_id"], descending=True)
+    return few.select("vec_id", as_text(few, "shown").alias("shown"), as_text(few, "nested").alias("nested"))
+
+
+@query("SELECT event_id, CAST(user_id AS BIGINT) AS user_id, event_type FROM events")
+def json_round_trip(spark, sf):
+    """Structs stored as JSON text, as databases without structs have them, and read back."""
+    df = table(spark, sf, "events").select("event_id", F.to_json(F.struct("user_id", "event_type")).alias("j"))
+    return decoded(df, "j", "user_id long, event_type string").select("event_id", "j.user_id", "j.event_type")
 
 
 # ------------------------------------------------------------------ through a store
