@@ -13,6 +13,7 @@ from . import diff
 from .project import Config, write_lock
 from .sources import system
 from .status import report
+from .tools import Tools
 
 
 def parser() -> argparse.ArgumentParser:
@@ -23,6 +24,12 @@ def parser() -> argparse.ArgumentParser:
     s.add_parser("config")
     s.add_parser("features").add_argument("--verbose", action="store_true")
     s.add_parser("stores")
+    w = s.add_parser("show")
+    w.add_argument("feature")
+    w.add_argument("--filter", action="append", default=[])
+    w.add_argument("--sort", action="append", default=[])
+    w.add_argument("--descending", action="store_true")
+    w.add_argument("--limit", type=int, default=20)
     g = s.add_parser("graph")
     g.add_argument("--format", choices=["mermaid", "graphviz", "json"], default="mermaid")
     g.add_argument("--fields", action="store_true")
@@ -76,6 +83,9 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
         print("changed" if write_lock(graph, a.path) else "unchanged")
         return 0
     spark = spark or SparkSession.builder.getOrCreate()
+    if a.command == "show":
+        say(Tools(config, spark, graph).get_rows(a.feature, store=a.store, filters=a.filter or None, by=a.sort, descending=a.descending, limit=a.limit))
+        return 0
     store = config.open_store(spark, a.store, graph)
     with store.open("w"):
         return _with_store(a, store, say, config, spark)

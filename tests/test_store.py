@@ -6,11 +6,13 @@ from provlake.cli import main
 from provlake.functions import columns as C
 from provlake.graph import FeatureGraph
 from provlake.model import FeatureDep, feature
+from provlake.project import Config
 from provlake.sources import system
 from provlake.sources.store import ReadOnly, Store
 from provlake.sources.tables import TableMissing
 from provlake.status import report, status
 from provlake.streaming.writer import BufferedWriter, with_versions, write_stream
+from provlake.tools import Tools
 from pyspark.sql import functions as F
 
 T0 = dt.datetime(2026, 1, 1, tzinfo=dt.timezone.utc)
@@ -216,5 +218,10 @@ def test_command_line(spark, tmp_path, monkeypatch, capsys):
     s = Store(spark, f"file://{tmp_path}/s", graph())
     with s.open("w"):
         s.write("root", root(spark, [(1, "u", "v")]))
+    capsys.readouterr()
+    assert run("show", "root", "--filter", "id = 1", "--sort", "id") == 0 and json.loads(capsys.readouterr().out)[0]["x"] == "u"
+    tools = Tools(Config.load(str(tmp_path / "p.toml")), spark)
+    assert tools.list_features() == ["leaf", "root"] and tools.get_store()["features"] == ["root"] and tools.get_feature("leaf")["parents"] == ["root"]
+    assert tools.list_stores() == ["dev"] and tools.get_config()["project"] == "default"
     assert run("status", "--assert-in-sync", "--progress") == 1
     assert run("delete", "root", "--filter", "id = 1") == 0 and s.read("root").count() == 0
