@@ -18,6 +18,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 SLICE_BYTES = 1 << 20
+#: Ids, of 8 bytes, that are sent to all tasks at most.
+IDS_SENT = 1 << 22
 _OWN_DIR: list[str] = []
 
 
@@ -48,6 +50,29 @@ def two(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return df.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"))
 
 
+def with_ids(docs: DataFrame, wanted: DataFrame, column: str) -> DataFrame:
+    """The rows of docs (doc_id, ...) whose id is in a column of distinct ids of a written table.
+
+    Up to IDS_SENT ids go to the tasks, so the texts aren't shuffled; more are joined.
+    """
+    n = wanted.count()
+    if n > IDS_SENT:
+        return docs.join(wanted.hint("shuffle_hash"), docs["doc_id"] == wanted[column], "left_semi")
+    spark = docs.sparkSession
+    ids = spark.sparkContext.broadcast(np.sort(wanted.select(column).toArrow().column(0).to_numpy().astype(np.int64)))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = ids.value
+        for b in batches:
+            if len(known) and b.num_rows:
+                c = b.column(b.schema.get_field_index("doc_id"))
+                x = c.fill_null(0).to_numpy(zero_copy_only=False)
+                at = np.minimum(np.searchsorted(known, x), len(known) - 1)
+                yield b.filter(pa.array((known[at] == x) & c.is_valid().to_numpy(zero_copy_only=False)))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def by_slice(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], Iterator[pa.RecordBatch] | pa.RecordBatch | None]], schema: T.StructType | str, text: str = "text") -> DataFrame:
     """mapInArrow with batches cut into slices of about SLICE_BYTES of text; make() runs once a task."""
 

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import by_slice, distinct_shingles, list_column, mix, two, written
+from .common import by_slice, distinct_shingles, list_column, mix, two, with_ids, written
 
 NGRAM = 2
 THRESHOLD = 0.7
@@ -19,6 +19,8 @@ MEAN = 4
 #: Sets of up to so many n-grams are also found by parts that hold a single one.
 TINY = 8
 WORDS = 8
+#: Documents on either side of a cell of pairs that are verified together.
+CELL_DOCS = 4096
 
 
 def edges(threshold: float, top: int = 1 << 40) -> list[int]:
@@ -135,31 +137,54 @@ def _hash_sets(df: DataFrame, ngram: int) -> DataFrame:
     return by_slice(df, make, "doc_id long, grams array<long>")
 
 
-def _verified(pairs: DataFrame, threshold: float) -> DataFrame:
-    """(doc_id, match_id, jaccard) of the pairs (hi, lo, grams, other) that reach the threshold."""
+def _cells(near: DataFrame) -> DataFrame:
+    """(hi, lo, cell): pairs of one group of copies share cells, of some CELL_DOCS documents a side.
+
+    A group is known by the least partner of the pair's smaller id. So a set of n-grams is sent about
+    once for a group of up to CELL_DOCS, not once for each of its pairs.
+    """
+    least = near.groupBy("hi").agg(F.min("lo").alias("m")).withColumnRenamed("hi", "lo")
+    pairs = near.join(least, "lo", "left").select("hi", "lo", F.coalesce("m", "lo").alias("g"))
+    many = pairs.groupBy("g").agg(F.ceil(F.sqrt(2.0 * F.count("*")) / CELL_DOCS).alias("k"))
+    side = lambda c: F.pmod(F.xxhash64(c), F.col("k"))
+    return pairs.join(many, "g").select("hi", "lo", F.xxhash64("g", side("hi"), side("lo")).alias("cell"))
+
+
+def _verified(cells: DataFrame, grams: DataFrame, threshold: float) -> DataFrame:
+    """(doc_id, match_id, jaccard) of the pairs that reach the threshold.
+
+    A cell's sets come first, then its pairs; a cell's sets are in memory together.
+    """
+    wanted = cells.select("cell", F.explode(F.array("hi", "lo")).alias("doc_id")).distinct()
+    sets = grams.join(wanted, "doc_id").select("cell", F.lit(0).alias("kind"), "doc_id", F.lit(None).cast("long").alias("lo"), "grams")
+    rows = sets.unionByName(cells.select("cell", F.lit(1).alias("kind"), F.col("hi").alias("doc_id"), "lo", F.lit(None).cast("array<long>").alias("grams")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cell, held = None, {}
         for b in batches:
-            if not b.num_rows:
-                continue
-            sets = []
-            for i in (2, 3):
-                c = b.column(i)
-                off = c.offsets.to_numpy().astype(np.int64)
-                values = c.values.to_numpy(zero_copy_only=False).view(np.uint64)
-                sets.append((values, off))
-            (x, xo), (y, yo) = sets
-            got = np.zeros(b.num_rows)
-            for i in range(b.num_rows):
-                p, q = x[xo[i] : xo[i + 1]], y[yo[i] : yo[i + 1]]
+            cs, kinds, docs, los = (b.column(i).fill_null(0).to_numpy(zero_copy_only=False) for i in range(4))
+            lists = b.column(4)
+            off = lists.offsets.to_numpy().astype(np.int64)
+            values = lists.values.to_numpy(zero_copy_only=False)
+            hi, lo, got = [], [], []
+            for i, (c, kind, d, o) in enumerate(zip(cs.tolist(), kinds.tolist(), docs.tolist(), los.tolist(), strict=True)):
+                if c != cell:
+                    cell, held = c, {}
+                if not kind:
+                    held[d] = values[off[i] : off[i + 1]].copy()
+                    continue
+                p, q = held[d], held[o]
                 both = np.concatenate((p, q))
                 both.sort()
                 common = int((both[1:] == both[:-1]).sum())
-                got[i] = common / (len(p) + len(q) - common)
-            ok = np.flatnonzero(got >= threshold - 1e-12)
-            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(ok)), b.column(1).take(pa.array(ok)), pa.array(got[ok])], names=["doc_id", "match_id", "jaccard"])
+                j = common / (len(p) + len(q) - common)
+                if j >= threshold - 1e-12:
+                    hi.append(d)
+                    lo.append(o)
+                    got.append(j)
+            yield pa.RecordBatch.from_arrays([pa.array(hi, pa.int64()), pa.array(lo, pa.int64()), pa.array(got, pa.float64())], names=["doc_id", "match_id", "jaccard"])
 
-    return pairs.mapInArrow(run, "doc_id long, match_id long, jaccard double")
+    return rows.repartition("cell").sortWithinPartitions("cell", "kind").mapInArrow(run, "doc_id long, match_id long, jaccard double")
 
 
 def jaccard_join(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, ngram: int = NGRAM, threshold: float = THRESHOLD) -> DataFrame:
@@ -192,10 +217,9 @@ def jaccard_join(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     far = sum((F.bit_count(F.col("s1")[i].bitwiseXOR(F.col("s2")[i])) for i in range(WORDS)), F.lit(0))
     most = F.floor((F.col("n1") + F.col("n2")) * ((1 - threshold) / (1 + threshold)) + 1e-9)
     near = written(both.where((far <= most) & (F.least("n1", "n2") >= F.greatest("n1", "n2") * threshold - 1e-9)).select("hi", "lo").distinct(), "sketch-pairs")
-    wanted = near.select(F.explode(F.array("hi", "lo")).alias("want")).distinct()
-    grams = written(_hash_sets(docs.join(wanted.hint("shuffle_hash"), docs["doc_id"] == wanted["want"]).select("doc_id", "text").dropDuplicates(["doc_id"]), ngram), "gram-sets")
-    full = near.join(grams.select(F.col("doc_id").alias("hi"), "grams"), "hi").join(grams.select(F.col("doc_id").alias("lo"), F.col("grams").alias("other")), "lo").select("hi", "lo", "grams", "other")
-    return _verified(full, threshold).unionByName(same)
+    wanted = written(near.select(F.explode(F.array("hi", "lo")).alias("want")).distinct(), "sketch-wanted")
+    grams = written(_hash_sets(with_ids(docs, wanted, "want"), ngram).dropDuplicates(["doc_id"]), "gram-sets")
+    return _verified(_cells(near), grams, threshold).unionByName(same)
 
 
 def components(pairs: DataFrame, a: str = "doc_id", b: str = "match_id") -> DataFrame:
