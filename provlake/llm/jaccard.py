@@ -19,8 +19,8 @@ MEAN = 4
 #: Sets of up to so many n-grams are also found by parts that hold a single one.
 TINY = 8
 WORDS = 8
-#: Documents on either side of a cell of pairs that are verified together.
-CELL_DOCS = 4096
+#: N-grams, of 8 bytes, on either side of a cell of pairs that are verified together.
+CELL_GRAMS = 1 << 22
 
 
 def edges(threshold: float, top: int = 1 << 40) -> list[int]:
@@ -138,14 +138,14 @@ def _hash_sets(df: DataFrame, ngram: int) -> DataFrame:
 
 
 def _cells(near: DataFrame) -> DataFrame:
-    """(hi, lo, cell): pairs of one group of copies share cells, of some CELL_DOCS documents a side.
+    """(hi, lo, cell): pairs (hi, lo, n), n the n-grams of both, of one group of copies share cells.
 
-    A group is known by the least partner of the pair's smaller id. So a set of n-grams is sent about
-    once for a group of up to CELL_DOCS, not once for each of its pairs.
+    A group is known by the least partner of the pair's smaller id. So a set is sent about once for
+    a group of up to CELL_GRAMS, not once for each of its pairs; a larger group is cut into squares.
     """
     least = near.groupBy("hi").agg(F.min("lo").alias("m")).withColumnRenamed("hi", "lo")
-    pairs = near.join(least, "lo", "left").select("hi", "lo", F.coalesce("m", "lo").alias("g"))
-    many = pairs.groupBy("g").agg(F.ceil(F.sqrt(2.0 * F.count("*")) / CELL_DOCS).alias("k"))
+    pairs = near.join(least, "lo", "left").select("hi", "lo", "n", F.coalesce("m", "lo").alias("g"))
+    many = pairs.groupBy("g").agg(F.ceil(F.sqrt(2.0 * F.count("*")) * F.avg("n") / 2 / CELL_GRAMS).alias("k"))
     side = lambda c: F.pmod(F.xxhash64(c), F.col("k"))
     return pairs.join(many, "g").select("hi", "lo", F.xxhash64("g", side("hi"), side("lo")).alias("cell"))
 
@@ -216,7 +216,7 @@ def jaccard_join(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     both = found.join(light.select(F.col("doc_id").alias("hi"), F.col("n").alias("n1"), F.col("sketch").alias("s1")), "hi").join(light.select(F.col("doc_id").alias("lo"), F.col("n").alias("n2"), F.col("sketch").alias("s2")), "lo")
     far = sum((F.bit_count(F.col("s1")[i].bitwiseXOR(F.col("s2")[i])) for i in range(WORDS)), F.lit(0))
     most = F.floor((F.col("n1") + F.col("n2")) * ((1 - threshold) / (1 + threshold)) + 1e-9)
-    near = written(both.where((far <= most) & (F.least("n1", "n2") >= F.greatest("n1", "n2") * threshold - 1e-9)).select("hi", "lo").distinct(), "sketch-pairs")
+    near = written(both.where((far <= most) & (F.least("n1", "n2") >= F.greatest("n1", "n2") * threshold - 1e-9)).groupBy("hi", "lo").agg(F.max(F.col("n1") + F.col("n2")).alias("n")), "sketch-pairs")
     wanted = written(near.select(F.explode(F.array("hi", "lo")).alias("want")).distinct(), "sketch-wanted")
     grams = written(_hash_sets(with_ids(docs, wanted, "want"), ngram).dropDuplicates(["doc_id"]), "gram-sets")
     return _verified(_cells(near), grams, threshold).unionByName(same)

@@ -64,3 +64,11 @@ def test_components_and_removal(spark):
     t = " ".join(f"w{i}" for i in range(50))
     df = spark.createDataFrame([(1, t, 1), (2, t + " more", 2), (3, "else", 3), (None, t, 4), (5, None, 5), (6, "", 6)], "doc_id long, text string, root int")
     assert {x["root"] for x in jaccard.one_of_each(df).collect()} == {1, 3, 4, 5, 6}
+
+
+def test_cells_of_any_size_give_the_same(spark, monkeypatch):
+    rows = make(random.Random(5), 150)
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    want = {tuple(x) for x in jaccard.jaccard_join(df).collect()}
+    monkeypatch.setattr(jaccard, "CELL_GRAMS", 50)
+    assert {tuple(x) for x in jaccard.jaccard_join(df).collect()} == want and len(want) > 50
