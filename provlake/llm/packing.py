@@ -126,7 +126,7 @@ def pack_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     table = slots(patterns({r[0]: r[1] for r in counts.groupBy("n_tokens").agg(F.sum("c")).collect()}, context))
     before = counts.select("n_tokens", "bucket", (F.sum("c").over(Window.partitionBy("n_tokens").orderBy("bucket")) - F.col("c")).alias("before"))
     inside = F.row_number().over(Window.partitionBy("bucket", "n_tokens").orderBy("doc_id", "piece", "start"))
-    ranked = cut.withColumn("i", inside).join(before, ["n_tokens", "bucket"]).select("doc_id", "piece", "start", "n_tokens", (F.col("i") - 1 + F.col("before")).alias("rank"))
+    ranked = cut.withColumn("i", inside).join(before.hint("merge"), ["n_tokens", "bucket"]).select("doc_id", "piece", "start", "n_tokens", (F.col("i") - 1 + F.col("before")).alias("rank"))
     if len(table) > MOST_SENT:
         at = spark.createDataFrame(table.tolist(), "length long, first long, many long, pack long, pack_offset long")
         placed = ranked.join(at, (F.col("n_tokens") == F.col("length")) & (F.col("rank") >= F.col("first")) & (F.col("rank") < F.col("first") + F.col("many")))
