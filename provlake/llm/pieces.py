@@ -128,10 +128,11 @@ def _units(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _lattice(p: Pieces, units: np.ndarray, s: np.ndarray, e: np.ndarray) -> tuple[np.ndarray, ...]:
-    """Forward sums of words units[s:e]: (node of each word's start, keys, starts, pieces) of edges.
+    """Forward sums of words units[s:e]: (node of each word's start, first edge of each node, and of
+    edges the probabilities, starts and pieces).
 
-    A word of n symbols has nodes base .. base + n. Edges are in the order of their end nodes; keys
-    are end node plus the probability, given the end, of this edge or one before it.
+    A word of n symbols has nodes base .. base + n. A node's edges are side by side, the
+    longest first; a probability is of this edge or one before it, given the end.
     """
     n = e - s
     base = np.concatenate(([0], np.cumsum(n + 1)))[:-1]
@@ -160,11 +161,13 @@ def _lattice(p: Pieces, units: np.ndarray, s: np.ndarray, e: np.ndarray) -> tupl
             ends.append(none + 1)
             ids.append(np.full(len(none), -1, np.int32))
         live = live[at >= 0]
-    a, b, ids = np.concatenate(starts), np.concatenate(ends), np.concatenate(ids)
+    a, b, ids = (np.concatenate(x[::-1]) for x in (starts, ends, ids))
     w = word[a]
     a, b = a + w, b + w  # places to nodes: a word has one node more than symbols
     rel = b - base[w]
-    order = np.lexsort((b, rel))
+    order = np.argsort(b, kind="stable")  # runs in order, the longest pieces first
+    by = rel[order]
+    order = order[np.argsort(by.astype(np.uint16) if len(by) and by.max() < 1 << 16 else by, kind="stable")]
     a, b, ids, rel = a[order], b[order], ids[order], rel[order]
     weight = np.where(ids >= 0, p.weight[ids], 0.0)
     alpha = np.full(total, -np.inf)
@@ -184,9 +187,11 @@ def _lattice(p: Pieces, units: np.ndarray, s: np.ndarray, e: np.ndarray) -> tupl
         alpha[node[head]] = top + np.log(t)
         c /= np.repeat(t, size)
         c[np.append(head[1:], j - i) - 1] = 1.0
-        keys[i:j] = node + np.minimum(c, 1.0)
-    order = np.argsort(b, kind="stable")
-    return base, keys[order], a[order], ids[order]
+        keys[i:j] = c
+    head = np.flatnonzero(np.concatenate(([True], b[1:] != b[:-1])))
+    edge_first = np.zeros(total, np.int64)
+    edge_first[b[head]] = head
+    return base, edge_first, keys, a, ids
 
 
 def sample(p: Pieces, column: pa.Array, row_key: np.ndarray, seed: int) -> tuple[np.ndarray, np.ndarray]:
@@ -205,7 +210,7 @@ def sample(p: Pieces, column: pa.Array, row_key: np.ndarray, seed: int) -> tuple
     s, e = bound[:-1], bound[1:]
     key = mix(span_hash(prefix_hash(units), s, e) ^ (e - s).astype(np.uint64))
     _, first, which = np.unique(key, return_index=True, return_inverse=True)
-    base, edge_key, edge_start, edge_piece = _lattice(p, units, s[first], e[first])
+    base, edge_first, edge_upto, edge_start, edge_piece = _lattice(p, units, s[first], e[first])
     row = np.searchsorted(heads, s, "right") - 1
     random = mix(row_key.view(np.uint64) + np.uint64((seed * 0x9E3779B97F4A7C15) & ((1 << 64) - 1)))
     token = np.full(n, -2, np.int32)
@@ -216,7 +221,11 @@ def sample(p: Pieces, column: pa.Array, row_key: np.ndarray, seed: int) -> tuple
     while len(node):
         r = mix(salt ^ mix((node + shift - head).astype(np.uint64)))
         u = (r >> np.uint64(11)).astype(np.float64) * 2.0**-53
-        k = np.searchsorted(edge_key, np.minimum(node + u, np.nextafter(node + 1.0, 0)), "right")
+        k = edge_first[node]
+        left = np.flatnonzero(u >= edge_upto[k])
+        while len(left):  # a node's last edge has probability 1
+            k[left] += 1
+            left = left[u[left] >= edge_upto[k[left]]]
         node = edge_start[k]
         token[node + shift] = edge_piece[k]
         more = node > lo
