@@ -6,6 +6,7 @@ a time, so the memory of a Python worker doesn't depend on the size of a partiti
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -20,6 +21,8 @@ from pyspark.sql import types as T
 SLICE_BYTES = 1 << 20
 #: Ids, of 8 bytes, that are sent to all tasks at most.
 IDS_SENT = 1 << 22
+#: Bytes of an Arrow batch on its way to or from Python, where the session has Spark's default of 64 MB.
+BATCH_BYTES = 4 << 20
 _OWN_DIR: list[str] = []
 
 
@@ -47,43 +50,63 @@ def written(df: DataFrame, name: str) -> DataFrame:
 
 def two(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """Only the id, as a long, and the text: columns of the input with clashing names play no part."""
+    bounded(df.sparkSession)
     return df.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"))
 
 
-def with_ids(docs: DataFrame, wanted: DataFrame, column: str) -> DataFrame:
-    """The rows of docs (doc_id, ...) whose id is in a column of distinct ids of a written table.
+def bounded(spark: SparkSession) -> None:
+    """Keep Arrow batches small: a task holds them several times over, in the JVM and in Python."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(key).rstrip("bB") == str(64 << 20):
+        spark.conf.set(key, str(BATCH_BYTES))
+
+
+def release() -> None:
+    """Give memory that a finished task has freed back to the system; the Python worker lives on."""
+    pa.default_memory_pool().release_unused()
+    libc = ctypes.CDLL(None)
+    if hasattr(libc, "malloc_trim"):
+        libc.malloc_trim(0)
+
+
+def with_ids(docs: DataFrame, wanted: DataFrame, column: str) -> tuple[DataFrame, Callable[[pa.RecordBatch], pa.RecordBatch] | None]:
+    """Of docs (doc_id, ...) what has an id in a column of distinct ids of a written table: rows, and
+    a filter for by_slice, if they are yet to be picked out.
 
     Up to IDS_SENT ids go to the tasks, so the texts aren't shuffled; more are joined.
     """
     n = wanted.count()
     if n > IDS_SENT:
-        return docs.join(wanted.hint("shuffle_hash"), docs["doc_id"] == wanted[column], "left_semi")
-    spark = docs.sparkSession
-    ids = spark.sparkContext.broadcast(np.sort(wanted.select(column).toArrow().column(0).to_numpy().astype(np.int64)))
+        return docs.join(wanted.hint("shuffle_hash"), docs["doc_id"] == wanted[column], "left_semi"), None
+    ids = docs.sparkSession.sparkContext.broadcast(np.sort(wanted.select(column).toArrow().column(0).to_numpy().astype(np.int64)))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def keep(b: pa.RecordBatch) -> pa.RecordBatch:
         known = ids.value
-        for b in batches:
-            if len(known) and b.num_rows:
-                c = b.column(b.schema.get_field_index("doc_id"))
-                x = c.fill_null(0).to_numpy(zero_copy_only=False)
-                at = np.minimum(np.searchsorted(known, x), len(known) - 1)
-                yield b.filter(pa.array((known[at] == x) & c.is_valid().to_numpy(zero_copy_only=False)))
+        if not len(known):
+            return b.slice(0, 0)
+        c = b.column(b.schema.get_field_index("doc_id"))
+        x = c.fill_null(0).to_numpy(zero_copy_only=False)
+        at = np.minimum(np.searchsorted(known, x), len(known) - 1)
+        return b.filter(pa.array((known[at] == x) & c.is_valid().to_numpy(zero_copy_only=False)))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs, keep
 
 
-def by_slice(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], Iterator[pa.RecordBatch] | pa.RecordBatch | None]], schema: T.StructType | str, text: str = "text") -> DataFrame:
+def by_slice(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], Iterator[pa.RecordBatch] | pa.RecordBatch | None]], schema: T.StructType | str, text: str = "text", keep: Callable[[pa.RecordBatch], pa.RecordBatch] | None = None) -> DataFrame:
     """mapInArrow with batches cut into slices of about SLICE_BYTES of text; make() runs once a task."""
+    bounded(df.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         f = make()
-        for batch in batches:
-            for part in slices(batch, text):
-                out = f(part)
-                if out is None:
-                    continue
-                yield from ([out] if isinstance(out, pa.RecordBatch) else out)
+        try:
+            for batch in batches:
+                for part in slices(keep(batch) if keep else batch, text):
+                    out = f(part)
+                    if out is None:
+                        continue
+                    yield from ([out] if isinstance(out, pa.RecordBatch) else out)
+        finally:
+            release()
 
     return df.mapInArrow(run, schema)
 

@@ -126,7 +126,7 @@ def sketches(df: DataFrame, ngram: int, threshold: float) -> DataFrame:
     return by_slice(df, make, "doc_id long, n long, whole long, sketch array<long>, key array<long>, role array<byte>")
 
 
-def _hash_sets(df: DataFrame, ngram: int) -> DataFrame:
+def _hash_sets(df: DataFrame, ngram: int, keep=None) -> DataFrame:
     def make():
         def run(part: pa.RecordBatch) -> pa.RecordBatch:
             h, _, off = distinct_shingles(part.column(1), ngram)
@@ -134,7 +134,7 @@ def _hash_sets(df: DataFrame, ngram: int) -> DataFrame:
 
         return run
 
-    return by_slice(df, make, "doc_id long, grams array<long>")
+    return by_slice(df, make, "doc_id long, grams array<long>", keep=keep)
 
 
 def _cells(near: DataFrame) -> DataFrame:
@@ -218,7 +218,8 @@ def jaccard_join(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     most = F.floor((F.col("n1") + F.col("n2")) * ((1 - threshold) / (1 + threshold)) + 1e-9)
     near = written(both.where((far <= most) & (F.least("n1", "n2") >= F.greatest("n1", "n2") * threshold - 1e-9)).groupBy("hi", "lo").agg(F.max(F.col("n1") + F.col("n2")).alias("n")), "sketch-pairs")
     wanted = written(near.select(F.explode(F.array("hi", "lo")).alias("want")).distinct(), "sketch-wanted")
-    grams = written(_hash_sets(with_ids(docs, wanted, "want"), ngram).dropDuplicates(["doc_id"]), "gram-sets")
+    some, keep = with_ids(docs, wanted, "want")
+    grams = written(_hash_sets(some, ngram, keep).dropDuplicates(["doc_id"]), "gram-sets")
     return _verified(_cells(near), grams, threshold).unionByName(same)
 
 
