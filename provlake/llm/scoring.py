@@ -1,9 +1,11 @@
 """LM scoring: pseudo-likelihood of a bidirectional window network that is trained in numpy.
 
-Each word is masked in turn and predicted from the words to its left and right. A word's code is a
-number below CODES: the most frequent words have their own, the others share the rest by hash. The
-output is a softmax in two digits, the code's high digit and then, given it, the low one, so that a
-prediction costs 64 logits and the probabilities of all codes add up to one.
+Each word is masked in turn and predicted from the words to its left and right. Words that occur
+often have codes of their own, as many as the corpus has such words; the others share SHARED codes by
+hash, and a word's probability is that of its code times the word's share of the code's occurrences,
+by the counts of the whole corpus. The output is a softmax digit by digit, each digit given those
+before it, so that a prediction costs DIGIT logits a digit, and the probabilities of all words add up
+to one.
 """
 
 from __future__ import annotations
@@ -16,11 +18,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import by_slice, mix, slices, two, word_hashes, written
+from .common import by_slice, list_column, mix, slices, two, word_hashes, written
 
+#: Codes at least.
 CODES = 1024
-#: Codes of frequent words; the others' hashes share the remaining codes.
+#: So many words have codes of their own at least, and all that occur LEAST times.
 FREQUENT = 768
+LEAST = 1024
+#: Codes that the hashes of the other words share at least.
+SHARED = 256
 DIGIT = 32
 #: Words on each side.
 SIDE = 2
@@ -65,9 +71,9 @@ def word_counts(docs: DataFrame, most: int = 1 << 20) -> DataFrame:
     return docs.mapInArrow(run, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
-def codes_of(h: np.ndarray, known: np.ndarray, rank: np.ndarray) -> np.ndarray:
+def codes_of(h: np.ndarray, known: np.ndarray, rank: np.ndarray, codes: int = CODES) -> np.ndarray:
     """Code of each word hash; known: sorted hashes of frequent words, rank: their codes."""
-    out = (len(known) + (mix(h) % np.uint64(CODES - len(known)))).astype(np.int64)
+    out = (len(known) + (mix(h) % np.uint64(codes - len(known)))).astype(np.int64)
     if len(known):
         at = np.minimum(np.searchsorted(known, h), len(known) - 1)
         hit = known[at] == h
@@ -75,200 +81,257 @@ def codes_of(h: np.ndarray, known: np.ndarray, rank: np.ndarray) -> np.ndarray:
     return out
 
 
-def vocabulary(counts: DataFrame, frequent: int = FREQUENT) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Sorted hashes of the most frequent words, their codes, and how often each code occurs in all."""
-    top = counts.orderBy(F.desc("n"), "word").limit(frequent).collect()
-    h = np.array([r["word"] for r in top], np.int64).view(np.uint64)
+def vocabulary(counts: DataFrame, frequent: int = FREQUENT, least: int = LEAST) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Sorted hashes of the frequent words, their codes, and how often each code occurs in all.
+
+    Frequent are the ``frequent`` most frequent words and all that occur ``least`` times.
+    """
+    many = max(frequent, counts.where(F.col("n") >= least).count())
+    h = counts.orderBy(F.desc("n"), "word").limit(many).select("word").toArrow().column(0).to_numpy().astype(np.int64).view(np.uint64)
     order = np.argsort(h)
     known, rank = h[order], np.arange(len(h))[order]
+    codes = max(CODES, -(-(len(h) + SHARED) // DIGIT) * DIGIT)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(CODES, np.int64)
+        total = np.zeros(codes, np.int64)
         for b in batches:
-            c = codes_of(b.column(0).to_numpy().view(np.uint64), known, rank)
-            total += np.bincount(c, b.column(1).to_numpy(), CODES).astype(np.int64)
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(CODES)), pa.array(total)], names=["code", "n"])
-
-    per = np.zeros(CODES, np.int64)
-    for r in counts.mapInArrow(run, "code long, n long").groupBy("code").agg(F.sum("n").alias("n")).collect():
-        per[r["code"]] = r["n"]
+            c = codes_of(b.column(0).to_numpy().view(np.uint64), known, rank, codes)
+            total += np.bincount(c, b.column(1).to_numpy(), codes).astype(np.int64)
+        some = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some])], names=["code", "n"])
+
+    per = np.zeros(codes, np.int64)
+    got = counts.mapInArrow(run, "code long, n long").groupBy("code").agg(F.sum("n").alias("n")).toArrow()
+    per[got.column(0).to_numpy()] = got.column(1).to_numpy()
     return known, rank, per
 
 
+def prefixes(codes: int) -> list[int]:
+    """How many values the digits before each digit of a code take."""
+    out = [-(-codes // DIGIT)]
+    while out[0] > 1:
+        out.insert(0, -(-out[0] // DIGIT))
+    return out
+
+
 class Window:
-    """The network: tanh of a sum of context embeddings by position, two softmaxes over it."""
+    """The network: tanh of a sum of context embeddings by position, a softmax a digit over it."""
 
-    SHAPES = (("e", (2 * SIDE * (CODES + 1), WIDTH)), ("b", (WIDTH,)), ("wh", (WIDTH, CODES // DIGIT)), ("ch", (CODES // DIGIT,)), ("wl", (WIDTH, DIGIT)), ("cl", (CODES // DIGIT, DIGIT)))
+    @staticmethod
+    def shape(codes: int) -> list[tuple[str, tuple[int, ...]]]:
+        digits = list(enumerate(prefixes(codes)))
+        return [("e", (2 * SIDE * (codes + 1), WIDTH)), ("b", (WIDTH,)), *((f"w{i}", (WIDTH, DIGIT)) for i, _ in digits), *((f"c{i}", (n, DIGIT)) for i, n in digits)]
 
-    def __init__(self, flat: np.ndarray):
+    def __init__(self, flat: np.ndarray, codes: int = CODES):
         self.flat = flat
-        at = 0
-        for name, shape in self.SHAPES:
-            n = math.prod(shape)
-            setattr(self, name, flat[at : at + n].reshape(shape))
-            at += n
         self.seen = np.full(len(flat), 1e-6, np.float32)
+        self.digits = len(prefixes(codes))
+        self.of, self.sq = {}, {}
         at = 0
-        self.sq = {}
-        for name, shape in self.SHAPES:
+        for name, shape in self.shape(codes):
             n = math.prod(shape)
+            self.of[name] = flat[at : at + n].reshape(shape)
             self.sq[name] = self.seen[at : at + n].reshape(shape)
             at += n
 
     @classmethod
     def fresh(cls, per: np.ndarray, seed: int = 0) -> np.ndarray:
         """Weights that predict each code by how often it occurs."""
-        w = cls(np.zeros(sum(math.prod(s) for _, s in cls.SHAPES), np.float32))
+        codes = len(per)
+        w = cls(np.zeros(sum(math.prod(s) for _, s in cls.shape(codes)), np.float32), codes)
         r = np.random.default_rng(seed)
-        w.e[:] = r.normal(0, 0.1, w.e.shape)
-        w.wh[:] = r.normal(0, 0.1, w.wh.shape)
-        w.wl[:] = r.normal(0, 0.1, w.wl.shape)
-        p = (per + 0.5).reshape(-1, DIGIT)
-        w.ch[:] = np.log(p.sum(1) / p.sum())
-        w.cl[:] = np.log(p / p.sum(1, keepdims=True))
+        for name in ("e", *(f"w{i}" for i in range(w.digits))):
+            w.of[name][:] = r.normal(0, 0.1, w.of[name].shape)
+        p = per + 0.5
+        for i in reversed(range(w.digits)):
+            p = np.append(p, np.zeros(-len(p) % DIGIT)).reshape(-1, DIGIT)
+            total = p.sum(1)
+            w.of[f"c{i}"][:] = np.log(np.maximum(p / total[:, None], 1e-35))  # digits that no code has
+            p = total
         return w.flat
 
-    def forward(self, x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, ...]:
-        """Hidden layer, probabilities of both digits, and log-probability of each code."""
-        h = self.e[x[0]]
+    def forward(self, x: np.ndarray, y: np.ndarray) -> tuple:
+        """Hidden layer, probabilities of each digit, (digit, those before it), and log-probability of each code."""
+        e = self.of["e"]
+        h = e[x[0]]
         for p in range(1, len(x)):
-            h += self.e[x[p]]
-        h += self.b
+            h += e[x[p]]
+        h += self.of["b"]
         np.tanh(h, out=h)
-        hi, lo = y // DIGIT, y % DIGIT
         rows = np.arange(len(y))
-        zh = h @ self.wh + self.ch
-        zl = h @ self.wl + self.cl[hi]
-        lp = zh[rows, hi] + zl[rows, lo]
-        np.exp(zh, out=zh)
-        np.exp(zl, out=zl)
-        sh, sl = zh.sum(1), zl.sum(1)
-        lp -= np.log(sh) + np.log(sl)
-        return h, zh / sh[:, None], zl / sl[:, None], lp
+        probs, places = [], []
+        lp = 0
+        for i in range(self.digits):
+            rest = y // DIGIT ** (self.digits - 1 - i)
+            before, digit = rest // DIGIT, rest % DIGIT
+            z = h @ self.of[f"w{i}"] + self.of[f"c{i}"][before]
+            lp = lp + z[rows, digit]
+            np.exp(z, out=z)
+            total = z.sum(1)
+            lp -= np.log(total)
+            z /= total[:, None]
+            probs.append(z)
+            places.append((digit, before))
+        return h, probs, places, lp
 
     def step(self, x: np.ndarray, y: np.ndarray, rate: float = RATE) -> float:
         """One Adagrad step on a batch; its mean log-probability before."""
         n = np.float32(len(y))
-        h, ph, pl, lp = self.forward(x, y)
-        hi, lo = y // DIGIT, y % DIGIT
+        h, probs, places, lp = self.forward(x, y)
         rows = np.arange(len(y))
-        ph[rows, hi] -= 1
-        pl[rows, lo] -= 1
-        g = ph @ self.wh.T + pl @ self.wl.T
+        g = 0
+        for i, (z, (digit, _)) in enumerate(zip(probs, places, strict=True)):
+            z[rows, digit] -= 1
+            g = g + z @ self.of[f"w{i}"].T
         g *= 1 - h * h
         g /= n
-        dcl = np.zeros_like(self.cl)
-        order = np.argsort(hi, kind="stable")
-        u, first = np.unique(hi[order], return_index=True)
-        dcl[u] = np.add.reduceat(pl[order], first, axis=0) / n
-        self._update("wh", h.T @ ph / n, rate)
-        self._update("wl", h.T @ pl / n, rate)
-        self._update("ch", ph.sum(0) / n, rate)
-        self._update("cl", dcl, rate)
+        for i, (z, (_, before)) in enumerate(zip(probs, places, strict=True)):
+            self._update(f"w{i}", h.T @ z / n, rate)
+            if i:
+                self._rows(f"c{i}", before, z / n, rate)
+            else:
+                self._update("c0", z.sum(0, keepdims=True) / n, rate)
         self._update("b", g.sum(0), rate)
-        flat = x.reshape(-1)
-        order = np.argsort(flat, kind="stable")
-        at = flat[order]
+        self._rows("e", x.reshape(-1), g, rate)
+        return float(lp.mean())
+
+    def _rows(self, name: str, at: np.ndarray, g: np.ndarray, rate: float) -> None:
+        """Update the rows at, of which each len(g) have the gradients g, by their sums."""
+        order = np.argsort(at, kind="stable")
+        at = at[order]
         first = np.flatnonzero(np.concatenate(([True], at[1:] != at[:-1])))
-        ge = np.add.reduceat(g[order % len(y)], first, axis=0)
+        g = np.add.reduceat(g[order % len(g)], first, axis=0)
         at = at[first]
-        self.sq["e"][at] += ge * ge
-        self.e[at] -= rate * ge / np.sqrt(self.sq["e"][at])
-        return float(lp.mean())
+        sq = self.sq[name][at] + g * g
+        self.sq[name][at] = sq
+        self.of[name][at] -= rate * g / np.sqrt(sq)
 
     def _update(self, name: str, g: np.ndarray, rate: float) -> None:
         self.sq[name] += g * g
-        w = getattr(self, name)
+        w = self.of[name]
         w -= rate * g / np.sqrt(self.sq[name])
 
 
-def contexts(code: np.ndarray, first: np.ndarray) -> np.ndarray:
+def contexts(code: np.ndarray, first: np.ndarray, codes: int = CODES) -> np.ndarray:
     """Embedding row of each neighbour, a row a position; a place outside the text is a code of its own."""
     n = len(code)
     row = np.repeat(np.arange(len(first) - 1), np.diff(first))
     out = np.empty((2 * SIDE, n), np.int64)
     for p, shift in enumerate([*range(-SIDE, 0), *range(1, SIDE + 1)]):
-        x = np.full(n, CODES)
+        x = np.full(n, codes)
         if abs(shift) < n:
             a, b = (slice(-shift, n), slice(0, n + shift)) if shift < 0 else (slice(0, n - shift), slice(shift, n))
-            x[a] = np.where(row[a] == row[b], code[b], CODES)
-        out[p] = x + p * (CODES + 1)
+            x[a] = np.where(row[a] == row[b], code[b], codes)
+        out[p] = x + p * (codes + 1)
     return out
 
 
-def train(docs: DataFrame, known: np.ndarray, rank: np.ndarray, flat: np.ndarray, rate: float = RATE) -> np.ndarray:
+def train(docs: DataFrame, known: np.ndarray, rank: np.ndarray, flat: np.ndarray, rate: float = RATE, codes: int = CODES) -> np.ndarray:
     """Weights after a pass over the corpus: each task trains on all its texts, then all are averaged.
 
-    Weights travel in blocks, each averaged by one task, so the driver gets one set, not one a task.
+    Weights travel in blocks of rows, of the embeddings only those that a task has changed; each block
+    is averaged by one task, so the driver gets one set, not one a task.
     """
-    edges = np.linspace(0, len(flat), _BLOCKS + 1).astype(int)
+    ends = 2 * SIDE * (codes + 1) * WIDTH  # of the embeddings
+    edges = np.append(np.linspace(0, ends // WIDTH, _BLOCKS + 1).astype(int) * WIDTH, len(flat))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        w, n = Window(flat.copy()), 0
+        w, n = Window(flat.copy(), codes), 0
         ctx = TaskContext.get()
         for b in batches:
             for part in slices(b):
                 h, first = word_hashes(part.column(1))
                 if not len(h):
                     continue
-                y = codes_of(h, known, rank)
-                x = contexts(y, first)
+                y = codes_of(h, known, rank, codes)
+                x = contexts(y, first, codes)
                 for i in range(0, len(y), BATCH):
                     w.step(np.ascontiguousarray(x[:, i : i + BATCH]), y[i : i + BATCH], rate)
                 n += len(y)
         if n:
-            parts = [w.flat[a:b].tobytes() for a, b in zip(edges, edges[1:], strict=False)]
-            yield pa.RecordBatch.from_arrays([pa.array(range(_BLOCKS), pa.int32()), pa.array([ctx.partitionId() if ctx else 0] * _BLOCKS, pa.int32()), pa.array([n] * _BLOCKS, pa.int64()), pa.array(parts, pa.binary())], names=["block", "part", "n", "w"])
+            for k, (a, b) in enumerate(zip(edges, edges[1:], strict=False)):
+                step = WIDTH if b <= ends else 1
+                now = w.flat[a:b].reshape(-1, step)
+                at = np.flatnonzero((now != flat[a:b].reshape(-1, step)).any(1)).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([ctx.partitionId() if ctx else 0], pa.int32()), pa.array([n], pa.int64()), pa.array([at.tobytes()], pa.binary()), pa.array([now[at].tobytes()], pa.binary())], names=["block", "part", "n", "at", "w"])
 
     def mean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[int, list] = {}
-        for b in batches:
-            for k, n, w in zip(b.column(0).to_pylist(), b.column(2).to_pylist(), b.column(3), strict=True):
-                t = total.setdefault(k, [0.0, 0])
-                t[0] = t[0] + n * np.frombuffer(w.as_buffer(), np.float32).astype(np.float64)
+        for batch in batches:
+            for k, n, at, w in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), batch.column(3), batch.column(4), strict=True):
+                a, b = edges[k], edges[k + 1]
+                step = WIDTH if b <= ends else 1
+                t = total.setdefault(k, [np.zeros(((b - a) // step, step)), 0])
+                rows = np.frombuffer(at.as_buffer(), np.int32)
+                t[0][rows] += n * (np.frombuffer(w.as_buffer(), np.float32).reshape(-1, step).astype(np.float64) - flat[a:b].reshape(-1, step)[rows])
                 t[1] += n
-        if total:
-            yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([(t[0] / t[1]).astype(np.float32).tobytes() for t in total.values()], pa.binary())], names=["block", "w"])
+        for k, (change, n) in total.items():
+            yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([(flat[edges[k] : edges[k + 1]] + change.reshape(-1) / n).astype(np.float32).tobytes()], pa.binary())], names=["block", "w"])
 
-    got = docs.mapInArrow(run, "block int, part int, n long, w binary").repartition("block").sortWithinPartitions("block", "part").mapInArrow(mean, "block int, w binary").collect()
+    got = docs.mapInArrow(run, "block int, part int, n long, at binary, w binary").repartition("block").sortWithinPartitions("block", "part").mapInArrow(mean, "block int, w binary").collect()
     out = flat.copy()
     for r in got:
         out[edges[r["block"]] : edges[r["block"] + 1]] = np.frombuffer(r["w"], np.float32)
     return out
 
 
-def pseudo_likelihood(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, epochs: int = EPOCHS, frequent: int = FREQUENT, rate: float = RATE, seed: int = 0) -> DataFrame:
+def pseudo_likelihood(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, epochs: int = EPOCHS, frequent: int = FREQUENT, least: int = LEAST, rate: float = RATE, seed: int = 0) -> DataFrame:
     """(doc_id, n_tokens, pseudo_log_likelihood, mean_log_prob) of each row.
 
-    The sum, over all words of a text, of the log-probability of its code given SIDE words on either
-    side. Words are counted, the network trained, and texts scored over the whole table; a model has
-    a fixed size, about 280 kB. Texts without words, null or empty, have 0 tokens, a likelihood of 0
-    and a null mean. Repeated rows are scored each, and count in training; a null id is carried; an
-    empty table gives an empty result; other columns are ignored. Three scans; words' counts, by
-    task, and the tasks' weights are all that is shuffled.
+    The sum, over all words of a text, of the log-probability of the word given SIDE words on either
+    side: of its code by the network, and of the word among those of its code by the counts. Words are
+    counted, the network trained, and texts scored over the whole table. A model has a code for each
+    word that occurs ``least`` times, 256 bytes each. Texts without words, null or empty, have 0
+    tokens, a likelihood of 0 and a null mean. Repeated rows are scored each, and count in training; a
+    null id is carried; an empty table gives an empty result; other columns are ignored. Three scans;
+    words' counts, by task, the tasks' changed weights and the words of each text that share codes,
+    which are joined with their counts, are all that is shuffled.
     """
     docs = two(df, id_col, text_col)
-    known, rank, per = vocabulary(written(word_counts(docs.select("doc_id", "text")), "word-counts"), min(frequent, CODES - 1))
+    counts = written(word_counts(docs.select("doc_id", "text")), "word-counts")
+    known, rank, per = vocabulary(counts, min(frequent, CODES - 1), least)
+    codes = len(per)
     flat = Window.fresh(per, seed)
     for _ in range(epochs):
-        flat = train(docs, known, rank, flat, rate)
+        flat = train(docs, known, rank, flat, rate, codes)
 
     def make():
-        w = Window(flat.copy())
+        from pyspark import TaskContext
+
+        w = Window(flat.copy(), codes)
+        log_per = np.log(np.maximum(per, 1))
+        ctx = TaskContext.get()
+        at = [(ctx.partitionId() if ctx else 0) << 40]
 
         def run(part: pa.RecordBatch) -> pa.RecordBatch:
             h, first = word_hashes(part.column(1))
-            y = codes_of(h, known, rank)
-            x = contexts(y, first)
+            y = codes_of(h, known, rank, codes)
+            x = contexts(y, first, codes)
             lp = np.zeros(len(y) + 1)
             for i in range(0, len(y), BATCH):
                 lp[i : i + len(y[i : i + BATCH])] = w.forward(np.ascontiguousarray(x[:, i : i + BATCH]), y[i : i + BATCH])[3]
             n = np.diff(first)
+            shared = np.flatnonzero(y >= len(known))
+            lp[shared] -= log_per[y[shared]]
             total = np.where(n > 0, np.add.reduceat(lp, first[:-1]), 0.0) if len(n) else np.zeros(0)
-            return pa.RecordBatch.from_arrays([part.column(0), pa.array(n.astype(np.int64)), pa.array(total), pa.array(total / np.maximum(n, 1), mask=n == 0)], names=["doc_id", "n_tokens", "pseudo_log_likelihood", "mean_log_prob"])
+            g, row = h[shared], np.repeat(np.arange(len(n)), n)[shared]
+            order = np.lexsort((g, row))
+            g, row = g[order], row[order]
+            new = np.flatnonzero(np.concatenate(([True], (g[1:] != g[:-1]) | (row[1:] != row[:-1]))) if len(g) else np.zeros(0, bool))
+            off = np.searchsorted(row[new], np.arange(len(n) + 1))
+            key = at[0] + np.arange(len(n))
+            at[0] += len(n)
+            times = np.diff(np.append(new, len(g)))
+            return pa.RecordBatch.from_arrays([pa.array(key), part.column(0), pa.array(n.astype(np.int64)), pa.array(total), list_column(g[new].view(np.int64), off, pa.int64()), list_column(times, off, pa.int32())], names=["at", "doc_id", "n_tokens", "by_code", "words", "times"])
 
         return run
 
-    return by_slice(docs, make, "doc_id long, n_tokens long, pseudo_log_likelihood double, mean_log_prob double")
+    # the words of codes of their own are all of their codes' occurrences; a word that occurs once has a logarithm of 0
+    scored = written(by_slice(docs, make, "at long, doc_id long, n_tokens long, by_code double, words array<long>, times array<int>"), "scored-by-code")
+    words = scored.select("at", F.explode(F.arrays_zip("words", "times")).alias("x")).select("at", F.col("x.words").alias("word"), F.col("x.times").alias("times"))
+    log_n = counts.where("n > 1").select(F.col("word").alias("counted"), F.log("n").alias("log_n"))
+    extra = words.join(log_n, words["word"] == log_n["counted"]).groupBy("at").agg(F.sum(F.col("times") * F.col("log_n")).alias("extra")).withColumnRenamed("at", "extra_at")
+    total = F.col("by_code") + F.coalesce("extra", F.lit(0.0))
+    return scored.join(extra, scored["at"] == extra["extra_at"], "left").select("doc_id", "n_tokens", total.alias("pseudo_log_likelihood"), F.when(F.col("n_tokens") > 0, total / F.col("n_tokens")).alias("mean_log_prob"))

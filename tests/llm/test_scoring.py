@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 from provlake.llm import scoring
 
 
@@ -58,3 +59,26 @@ def test_held_out_order_and_cases(spark):
     again = {x[0]: tuple(x) for x in scoring.pseudo_likelihood(df, epochs=2).collect()}
     assert all(abs(again[k][2] - by[k][2]) < 1e-3 for k in by)
     assert scoring.pseudo_likelihood(df.limit(0)).count() == 0
+
+
+def test_words_of_a_code_have_their_own_probabilities(spark):
+    rows = [(f"w{i}", 1 + i % 7) for i in range(4000)]
+    df = spark.createDataFrame([(i, w) for i, (w, n) in enumerate(rows) for _ in range(n)], "doc_id long, text string")
+    got = {x["doc_id"]: x["pseudo_log_likelihood"] for x in scoring.pseudo_likelihood(df, epochs=1).collect()}
+    assert 0.9 < sum(np.exp(x) for x in got.values()) < 1 + 1e-3  # one context: the words' probabilities add up
+    known, rank, per = scoring.vocabulary(scoring.word_counts(df))
+    code = scoring.codes_of(scoring.word_hashes(pa.array([w for w, _ in rows]))[0], known, rank, len(per))
+    mates = np.flatnonzero(code == code[next(i for i in range(4000) if code[i] >= len(known))])
+    assert len(mates) > 3
+    for i in mates:
+        assert abs(got[i] - got[mates[0]] - np.log(rows[i][1] / rows[mates[0]][1])) < 1e-5
+
+
+def test_vocabulary_grows_with_the_counts(spark):
+    for words in (3000, 6000):
+        counts = spark.range(words).selectExpr("xxhash64(id) AS word", "20 - id % 2 * 15 AS n")
+        known, _, per = scoring.vocabulary(counts, 5, 20)
+        assert len(known) == words // 2 and len(per) >= len(known) + scoring.SHARED and per.sum() == words * 12.5
+    w = scoring.Window(scoring.Window.fresh(per), len(per))
+    x = np.repeat(scoring.contexts(np.array([5, 9, 700]), np.array([0, 3]), len(per))[:, 1:2], len(per), 1)
+    assert w.digits == 3 and abs(np.exp(w.forward(x, np.arange(len(per)))[3].astype(float)).sum() - 1) < 1e-3
