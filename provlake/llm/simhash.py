@@ -13,8 +13,9 @@ from .common import by_slice, distinct_shingles, two, written
 
 BITS = 64
 SHINGLE = 1
-RADIUS = 3
-BLOCKS = 6
+#: Bits; of near copies with a bigram Jaccard of 0.7 and more, most differ in up to so many.
+RADIUS = 8
+BLOCKS = 3
 
 
 def simhash_rows(column: pa.Array, shingle: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
@@ -47,13 +48,24 @@ def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return by_slice(two(df, id_col, text_col), make, "doc_id long, fingerprint long")
 
 
-def block_masks(blocks: int = BLOCKS, radius: int = RADIUS) -> list[int]:
+def block_masks(blocks: int, radius: int) -> list[int]:
     """A mask per table: two fingerprints within the radius agree on all bits of at least one of them."""
     edges = [BITS * i // blocks for i in range(blocks + 1)]
     part = [((1 << (b - a)) - 1) << a for a, b in zip(edges, edges[1:], strict=False)]
     return [sum(part[i] for i in c) for c in combinations(range(blocks), blocks - radius)]
 
 
+def block_flips(blocks: int, radius: int) -> list[list[int]]:
+    """For each block its mask, and the bits that make its keys when flipped in a fingerprint, 0 first.
+
+    With no more blocks than the radius, two fingerprints within it differ in at most radius // blocks
+    bits of some block; so their keys meet where each is flipped in up to half as many, rounded up.
+    """
+    edges = [BITS * i // blocks for i in range(blocks + 1)]
+    most = (radius // blocks + 1) // 2
+    return [[((1 << (b - a)) - 1) << a, *(sum(1 << i for i in c) for k in range(most + 1) for c in combinations(range(a, b), k))] for a, b in zip(edges, edges[1:], strict=False)]
+
+
 def near_fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, radius: int = RADIUS, blocks: int = BLOCKS, shingle: int = SHINGLE) -> DataFrame:
     """Every pair of fingerprints within ``radius`` bits: (doc_id, match_id, distance, fingerprint).
 
@@ -63,20 +75,24 @@ def near_fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "te
     without words or with a null id take no part; repeated ids count once. An empty table gives an
     empty result; other columns are ignored. All candidates of a table are compared: nothing is capped.
 
-    Only fingerprints are shuffled, C(blocks, radius) times 16 bytes a document, not texts.
+    Only fingerprints are shuffled, not texts: C(blocks, radius) times with more blocks than the radius,
+    else once a key of block_flips, 67 times for 3 blocks and 8 bits.
     """
-    if not 0 <= radius < blocks:
-        raise ValueError("radius must be less than blocks")
+    if radius < 0 or not 0 < blocks <= BITS:
+        raise ValueError("radius must be 0 at least and blocks 1 to 64")
     fp = written(fingerprints(df, id_col, text_col, shingle).where("doc_id IS NOT NULL AND fingerprint IS NOT NULL").distinct(), "fingerprints")
     reps = fp.groupBy("fingerprint").agg(F.min("doc_id").alias("rep"))
     reps = written(reps, "fingerprint-groups")
     members = fp.join(reps, "fingerprint").where("doc_id != rep").select("doc_id", F.col("rep").alias("match_id"), F.lit(0).alias("distance"), "fingerprint")
-    masks = block_masks(blocks, radius)
     to_long = lambda m: m - (1 << 64) if m >> 63 else m
-    tables = reps.select("fingerprint", "rep", F.posexplode(F.array(*[F.col("fingerprint").bitwiseAND(F.lit(to_long(m)).cast("long")) for m in masks])).alias("t", "key"))
-    keyed = tables.select(F.xxhash64("t", "key").alias("key"), "t", "fingerprint", "rep")
+    tables = [[m, 0] for m in block_masks(blocks, radius)] if radius < blocks else block_flips(blocks, radius)
+    each = [(t, f, mask, flip) for t, (mask, *flips) in enumerate(tables) for f, flip in enumerate(flips)]
+    own = lambda mask, flip: F.col("fingerprint").bitwiseAND(F.lit(to_long(mask)).cast("long")).bitwiseXOR(F.lit(to_long(flip)).cast("long"))
+    placed = reps.select("fingerprint", "rep", F.posexplode(F.array(*[own(mask, flip) for *_, mask, flip in each])).alias("i", "key"))
+    at = lambda k: F.element_at(F.expr(f"array({','.join(str(x[k]) for x in each)})"), F.col("i") + 1)
+    keyed = placed.select(F.xxhash64(at(0), "key").alias("key"), at(1).cast("short").alias("f"), "fingerprint", "rep")
     a, b = keyed.alias("a"), keyed.alias("b")
     far = F.bit_count(F.col("a.fingerprint").bitwiseXOR(F.col("b.fingerprint")))
-    pairs = a.join(b, (F.col("a.key") == F.col("b.key")) & (F.col("a.t") == F.col("b.t")) & (F.col("a.rep") > F.col("b.rep")) & (far <= radius))
+    pairs = a.join(b, (F.col("a.key") == F.col("b.key")) & ((F.col("a.f") == 0) | (F.col("a.f") < F.col("b.f"))) & (F.col("a.rep") > F.col("b.rep")) & (far <= radius))
     pairs = pairs.select(F.col("a.rep").alias("doc_id"), F.col("b.rep").alias("match_id"), far.cast("int").alias("distance"), F.col("a.fingerprint").alias("fingerprint")).distinct()
     return pairs.unionByName(members)

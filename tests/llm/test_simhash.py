@@ -68,3 +68,29 @@ def test_pairs_equal_brute_force(spark):
         got = [(x[0], x[1], x[2]) for x in simhash.near_fingerprints(df, radius=radius, blocks=blocks).collect()]
         assert len(got) == len(set(got)) and set(got) == want
     assert simhash.near_fingerprints(df.limit(0)).count() == 0
+
+
+def test_flips_cover_the_radius():
+    for blocks, radius in ((3, 8), (simhash.BLOCKS, simhash.RADIUS), (2, 7), (4, 4)):
+        tables = simhash.block_flips(blocks, radius)
+        r = random.Random(3)
+        for _ in range(300):
+            d = sum(1 << b for b in r.sample(range(64), radius))
+            assert any((d & m) ^ f in flips for m, *flips in tables for f in flips)
+
+
+def test_near_copies_are_found_by_default(spark):
+    r = random.Random(4)
+    rows = []
+    for i in range(60):
+        w = [f"w{r.randrange(4000)}" for _ in range(100)]
+        rows.append((2 * i, " ".join(w)))
+        for k in (10, 40, 60, 90):  # bigram Jaccard of 0.85
+            w[k] = f"z{r.randrange(9999)}"
+        rows.append((2 * i + 1, " ".join(w)))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    fp = {d: simhash.simhash_rows(pa.array([t]))[0].view(np.uint64)[0] for d, t in rows}
+    want = {(d, e) for d in fp for e in fp if d > e and np.bitwise_count(fp[d] ^ fp[e]) <= 8}
+    got = [(x[0], x[1]) for x in simhash.near_fingerprints(df).collect()]
+    assert len(got) == len(set(got)) and set(got) == want
+    assert sum((2 * i + 1, 2 * i) in want for i in range(60)) > 48
