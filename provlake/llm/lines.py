@@ -13,8 +13,10 @@ from .common import buffers, by_slice, mix, prefix_hash, span_hash, two, written
 
 #: Edits (insertions, deletions, substitutions of characters) up to which lines are the same.
 EDITS = 2
-#: Lines of fewer characters, surrounding white space not counted, are structure and stay.
-MIN_CHARS = 24
+#: Lines of fewer characters, surrounding white space not counted, stay: blank ones.
+MIN_CHARS = 1
+#: Lines of fewer characters are the same only if they are equal.
+EDIT_CHARS = 20
 _SPACE = np.array([9, 10, 11, 12, 13, 32, 160], np.uint32)
 
 
@@ -275,7 +277,7 @@ def _verified(pairs: DataFrame, edits: int) -> DataFrame:
     return by_slice(pairs, make, "lo long, hi long, distance int", "text")
 
 
-def repeated_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, edits: int = EDITS, min_chars: int = MIN_CHARS) -> DataFrame:
+def repeated_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, edits: int = EDITS, min_chars: int = MIN_CHARS, edit_chars: int = EDIT_CHARS) -> DataFrame:
     """One row per line that repeats an earlier one: (doc_id, line_no, match_doc_id, match_line_no, distance).
 
     Lines are compared without surrounding white space, in code points, in the order of (doc_id,
@@ -283,18 +285,19 @@ def repeated_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     matches the earliest line within ``edits`` of it that begins earlier. So dropping all rows of the
     result leaves at least the first line of every chain. The search is exact: nothing is capped.
 
-    Lines under ``min_chars`` are left alone, as are null and empty texts and rows with a null id. Rows
+    Lines under ``edit_chars`` match only equal ones. Lines under ``min_chars`` are left alone, as are null and empty texts and rows with a null id. Rows
     that repeat an id and a line number are one line. Empty tables give empty results; other columns
     are ignored. Texts are shuffled once, for the documents that hold candidates; keys are shuffled
     as 17 bytes, 12 for a distinct line at 2 edits.
     """
-    if min_chars <= 2 * edits + 1:
-        raise ValueError("min_chars must be more than 2 * edits + 1")
+    edit_chars = max(min_chars, edit_chars)
+    if edit_chars <= 2 * edits + 1:
+        raise ValueError("edit_chars must be more than 2 * edits + 1")
     docs = two(df, id_col, text_col).where("doc_id IS NOT NULL")
     lines = written(_lines(docs, min_chars), "lines")
     first = lines.groupBy("line").agg(F.min(F.struct("doc_id", "line_no")).alias("first"))
     first = written(first.select("line", F.col("first.doc_id").alias("first_doc"), F.col("first.line_no").alias("first_no")), "first-lines")
-    pairs = written(_candidates(_signatures(docs, edits, min_chars)), "line-candidates")
+    pairs = written(_candidates(_signatures(docs, edits, edit_chars)), "line-candidates")
     wanted = first.join(pairs.select(F.explode(F.array("lo", "hi")).alias("line")).distinct(), "line")
     texts = written(_texts(docs, wanted.select(F.col("first_doc").alias("doc_id"), F.col("first_no").alias("line_no"), "line")), "line-texts")
     a, b = texts.select(F.col("line").alias("lo"), F.col("text").alias("text")), texts.select(F.col("line").alias("hi"), F.col("text").alias("other"))
@@ -308,13 +311,13 @@ def repeated_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return same.unionByName(best)
 
 
-def without_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, edits: int = EDITS, min_chars: int = MIN_CHARS) -> DataFrame:
+def without_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, edits: int = EDITS, min_chars: int = MIN_CHARS, edit_chars: int = EDIT_CHARS) -> DataFrame:
     """df without the lines that repeated_lines reports, and without the rows that are left blank by it.
 
     Rows that lose nothing stay as they are, blank ones and those with a null id too.
     """
     names = df.columns
-    gone = repeated_lines(df, id_col, text_col, edits=edits, min_chars=min_chars)
+    gone = repeated_lines(df, id_col, text_col, edits=edits, min_chars=min_chars, edit_chars=edit_chars)
     gone = written(gone.groupBy("doc_id").agg(F.sort_array(F.collect_set("line_no")).alias("gone")).withColumnRenamed("doc_id", "gone_id"), "lines-gone")
     inner = df.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(names)])
     k = names.index(text_col)

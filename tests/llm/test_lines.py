@@ -71,3 +71,13 @@ def test_empty_and_removal(spark):
     df = spark.createDataFrame([(1, long + "\nshort", 1), (2, long, 2), (3, "own\n" + long + ".", 3), (4, "", 4), (None, long, 5), (5, None, 6)], "doc_id long, text string, gone int")
     got = {x["gone"]: x["text"] for x in lines.without_repeats(df).collect()}
     assert got == {1: long + "\nshort", 3: "own", 4: "", 5: long, 6: None}
+
+
+def test_short_lines_repeat_when_equal(spark):
+    short = "All rights reserved."
+    rows = [(1, short + "\nIn in oredble ea.\n}"), (2, "own line\n" + short), (3, "In in oredble ea.\n}\n \nIn in oredble eb."), (4, "all rights reserved."), (5, "} \n")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted(tuple(x) for x in lines.repeated_lines(df).collect())
+    assert got == [(2, 1, 1, 0, 0), (3, 0, 1, 1, 0), (3, 1, 1, 2, 0), (4, 0, 1, 0, 1), (5, 0, 1, 2, 0)]
+    left = {x["doc_id"]: x["text"] for x in lines.without_repeats(df).collect()}
+    assert left == {1: rows[0][1], 2: "own line", 3: " \nIn in oredble eb."}
