@@ -47,7 +47,7 @@ def brute(rows, edits, min_chars):
         m = [(*o, distance(x, y)) for y, o in first.items() if o < at and abs(len(x) - len(y)) <= edits and distance(x, y) <= edits]
         if m:
             out.append((*at, *min(m)))
-    return sorted(out)
+    return sorted(set(out))
 
 
 def test_join_equals_brute_force(spark):
@@ -81,3 +81,58 @@ def test_short_lines_repeat_when_equal(spark):
     assert got == [(2, 1, 1, 0, 0), (3, 0, 1, 1, 0), (3, 1, 1, 2, 0), (4, 0, 1, 0, 1), (5, 0, 1, 2, 0)]
     left = {x["doc_id"]: x["text"] for x in lines.without_repeats(df).collect()}
     assert left == {1: rows[0][1], 2: "own line", 3: " \nIn in oredble eb."}
+
+
+def test_texts_that_share_an_id(spark):
+    r = random.Random(4)
+    base = ["".join(r.choice("abc dé") for _ in range(r.randint(20, 40))) for _ in range(12)]
+    rows = [(r.randrange(12), "\n".join(edited(r, r.choice(base), r.choice([0, 1, 2])) for _ in range(r.randint(1, 4)))) for _ in range(40)]
+    rows += [rows[0], (None, base[0]), (1, None), (1, "")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted(tuple(x) for x in lines.repeated_lines(df, edits=2, min_chars=20).collect())
+    want = brute(rows, 2, 20)
+    assert got == want
+    gone = {(d, n, m) for d, n, m, *_ in want}
+    left = sorted((x["doc_id"] if x["doc_id"] is not None else -1, x["text"] or "") for x in lines.without_repeats(df, edits=2, min_chars=20).collect())
+    first = {}
+    for d, t in sorted((d, t) for d, t in rows if d is not None and t):
+        for i, x in enumerate(t.split("\n")):
+            x = x.strip("\t\n\x0b\x0c\r \xa0")
+            first[x] = min(first.get(x, (d, i)), (d, i))
+    near = {(x, *o) for x, o in first.items() for y, p in first.items() if p < o and min(len(x), len(y)) >= 20 and distance(x, y) <= 2}
+    expect = []
+    for d, t in rows:
+        if d is None or not t:
+            expect.append((-1 if d is None else d, t or ""))
+            continue
+        keep = []
+        for i, x in enumerate(t.split("\n")):
+            y = x.strip("\t\n\x0b\x0c\r \xa0")
+            if len(y) < 20 or (first[y] == (d, i) and (y, d, i) not in near):
+                keep.append(x)
+        if "\n".join(keep).strip():
+            expect.append((d, "\n".join(keep)))
+    assert left == sorted(expect) and gone
+
+
+def test_keys_that_many_lines_share(spark, monkeypatch):
+    r = random.Random(6)
+    rows = [(i, f"posted by user {r.randrange(10**6):06d} on the board of the town") for i in range(150)]
+    rows += [(200 + i, edited(r, rows[i * 3][1], 1)) for i in range(30)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    want = brute(rows, 2, 20)
+    assert sorted(tuple(x) for x in lines.repeated_lines(df).collect()) == want and len(want) >= 30
+    monkeypatch.setattr(lines, "HOT", 4)
+    monkeypatch.setattr(lines, "CELL", 20)
+    assert sorted(tuple(x) for x in lines.repeated_lines(df).collect()) == want
+    monkeypatch.setattr(lines, "CELL", 1000)
+    assert sorted(tuple(x) for x in lines.repeated_lines(df).collect()) == want
+
+
+def test_an_edit_flips_at_most_four_bits():
+    r = random.Random(8)
+    for _ in range(300):
+        a = "".join(r.choice("abcdé ") for _ in range(r.randint(20, 60)))
+        b = edited(r, a, 2)
+        x, y = (np.array(lines.bigram_sketch(t), np.int64).view(np.uint64) for t in (a, b))
+        assert int(np.bitwise_count(x ^ y).sum()) <= 8
