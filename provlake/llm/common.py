@@ -19,8 +19,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 SLICE_BYTES = 1 << 20
-#: Ids, of 8 bytes, that are sent to all tasks at most.
-IDS_SENT = 1 << 22
+#: Words, of 8 bytes, of a filter that is sent to all tasks.
+FILTER_WORDS = 1 << 20
 #: Bytes of an Arrow batch on its way to or from Python, where the session has Spark's default of 64 MB.
 BATCH_BYTES = 4 << 20
 _OWN_DIR: list[str] = []
@@ -69,30 +69,48 @@ def release() -> None:
         libc.malloc_trim(0)
 
 
-def with_ids(docs: DataFrame, wanted: DataFrame, column: str) -> tuple[DataFrame, Callable[[pa.RecordBatch], pa.RecordBatch] | None]:
-    """Of docs (doc_id, ...) what has an id in a column of distinct ids of a written table: rows, and
-    a filter for by_slice, if they are yet to be picked out.
+def fresh_ids(slots: int = 1 << 20) -> Callable[[np.ndarray], np.ndarray]:
+    """Which ids come for the first time, as far as ``slots`` of 8 bytes remember: a repeat may be forgotten,
+    a new id is never taken for a repeat."""
+    seen = np.zeros(slots, np.int64)
 
-    Up to IDS_SENT ids go to the tasks, so the texts aren't shuffled; more are joined.
+    def fresh(ids: np.ndarray) -> np.ndarray:
+        ids = ids.view(np.int64)
+        new = np.zeros(len(ids), bool)
+        new[np.unique(ids, return_index=True)[1]] = True
+        slot = ids & (slots - 1)
+        new &= (seen[slot] != ids) | (ids == 0)
+        seen[slot] = ids
+        return new
+
+    return fresh
+
+
+def id_filter(hashes: DataFrame, words: int = FILTER_WORDS) -> Callable[[], Callable[[np.ndarray], np.ndarray]]:
+    """From a column of 64-bit hashes a filter for tasks that passes all of them, and few others: two bits a hash in one of ``words`` words.
+
+    At most 16 bytes a word go to the driver and 8 to the tasks, whatever the number of hashes. Of very
+    many nearly everything passes, so an exact join has to follow.
     """
-    n = wanted.count()
-    if n > IDS_SENT:
-        return docs.join(wanted.hint("shuffle_hash"), docs["doc_id"] == wanted[column], "left_semi"), None
-    ids = docs.sparkSession.sparkContext.broadcast(np.sort(wanted.select(column).toArrow().column(0).to_numpy().astype(np.int64)))
+    h = F.col(hashes.columns[0])
+    bits = F.expr("shiftleft(1L, cast(h & 63 AS INT)) | shiftleft(1L, cast(shiftright(h, 6) & 63 AS INT))")
+    got = hashes.select(h.alias("h")).select(F.pmod(F.shiftright("h", 12), F.lit(words)).alias("word"), bits.alias("bits"))
+    table = got.groupBy("word").agg(F.bit_or("bits").alias("bits")).toArrow()
+    full = np.zeros(words, np.int64)
+    full[table.column(0).to_numpy()] = table.column(1).to_numpy()
+    sent = hashes.sparkSession.sparkContext.broadcast(full)
+
+    def make():
+        def passes(h: np.ndarray) -> np.ndarray:
+            want = (np.int64(1) << (h & 63)) | (np.int64(1) << ((h >> 6) & 63))
+            return (sent.value[(h >> 12) % words] & want) == want
 
-    def keep(b: pa.RecordBatch) -> pa.RecordBatch:
-        known = ids.value
-        if not len(known):
-            return b.slice(0, 0)
-        c = b.column(b.schema.get_field_index("doc_id"))
-        x = c.fill_null(0).to_numpy(zero_copy_only=False)
-        at = np.minimum(np.searchsorted(known, x), len(known) - 1)
-        return b.filter(pa.array((known[at] == x) & c.is_valid().to_numpy(zero_copy_only=False)))
+        return passes
 
-    return docs, keep
+    return make
 
 
-def by_slice(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], Iterator[pa.RecordBatch] | pa.RecordBatch | None]], schema: T.StructType | str, text: str = "text", keep: Callable[[pa.RecordBatch], pa.RecordBatch] | None = None) -> DataFrame:
+def by_slice(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], Iterator[pa.RecordBatch] | pa.RecordBatch | None]], schema: T.StructType | str, text: str = "text") -> DataFrame:
     """mapInArrow with batches cut into slices of about SLICE_BYTES of text; make() runs once a task."""
     bounded(df.sparkSession)
 
@@ -100,7 +118,7 @@ def by_slice(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], Iterat
         f = make()
         try:
             for batch in batches:
-                for part in slices(keep(batch) if keep else batch, text):
+                for part in slices(batch, text):
                     out = f(part)
                     if out is None:
                         continue

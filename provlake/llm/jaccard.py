@@ -2,25 +2,29 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import by_slice, distinct_shingles, list_column, mix, two, with_ids, written
+from .common import by_slice, distinct_shingles, fresh_ids, id_filter, list_column, mix, two, written
 
 NGRAM = 2
 THRESHOLD = 0.7
-#: Parts of a sketch whose codes a document is found by, and the mean elements of a part.
-PARTS = 20
-MEAN = 4
-#: Sets of up to so many n-grams are also found by parts that hold a single one.
-TINY = 8
+#: Mean elements of a sketch's part.
+MEAN = 3
+#: A pair at the threshold is missed by its parts once in so many; pairs of more similar sets hardly ever.
+MISSED = 10**7
+#: In bands of sets of up to so many n-grams, sets are found by their subsets instead.
+TINY = 7
 WORDS = 8
 #: N-grams, of 8 bytes, on either side of a cell of pairs that are verified together.
 CELL_GRAMS = 1 << 22
+_SALT = np.uint64(0xA5A5A5A5A5A5A5A5)
 
 
 def edges(threshold: float, top: int = 1 << 40) -> list[int]:
@@ -31,66 +35,89 @@ def edges(threshold: float, top: int = 1 << 40) -> list[int]:
     return out
 
 
-def largest_difference(n: int, m: int, threshold: float) -> int:
-    """Most elements in which sets of n and m of the threshold's similarity differ."""
-    return int((1 - threshold) / (1 + threshold) * (n + m) + 1e-9)
+def parts_needed(threshold: float) -> int:
+    """Parts by which a set is found, so that sets at the threshold differ in all of them once in MISSED.
 
+    A part is of use if the difference leaves it untouched and it holds two elements or more.
+    """
+    other, common = MEAN * 2 * (1 - threshold) / (1 + threshold), MEAN * 2 * threshold / (1 + threshold)
+    use = math.exp(-other) * (1 - math.exp(-common) * (1 + common))
+    return math.ceil(-1.1 * math.log(MISSED) / math.log(1 - use))
 
-def families(most: int, threshold: float) -> list[int]:
-    """Numbers of parts into which sketches of a band, of at most ``most`` elements, are cut."""
-    one = -(-most // MEAN)
-    out = [max(1, one)]
-    if one < PARTS:
-        out.append(max(1, -(-most // (MEAN // 2))))
-    if most <= TINY:
-        out.append(largest_difference(most, int(most / threshold + 1e-9), threshold) + 1)
-    return out
+
+def _subset_keys(h: np.ndarray, off: np.ndarray, row: np.ndarray, level: int, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    """(row, key) of the subsets that a set of so many elements can have in common with one of the threshold's similarity."""
+    rows, keys = [], []
+    tag = np.uint64((1 << 60) + level)
+    for r in row.tolist():
+        x = mix(h[off[r] : off[r + 1]] ^ _SALT)
+        total = np.bitwise_xor.reduce(x)
+        for k in range(int((1 - threshold) * len(x) + 1e-9) + 1):
+            for c in combinations(range(len(x)), k):
+                keys.append(total ^ np.bitwise_xor.reduce(x[list(c)]) if c else total)
+                rows.append(r)
+    return np.array(rows, np.int64), mix(np.array(keys, np.uint64) ^ mix(tag.reshape(1))[0])
 
 
 def part_keys(h: np.ndarray, off: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(row, key, role) of the sketch parts that each set is found by; role 1 in its own band, 2 below.
+    """(row, key, tag) of the sketch parts that each set is found by; tag is 4 * the part before + role.
 
     A sketch has 2**16 bits a part; each element flips one. A part is known by the XOR of codes of
-    its set bits, so equal parts have equal keys. Parts in which the sets don't differ are equal.
+    its set bits, so equal parts have equal keys. Parts in which the sets don't differ are equal. Role
+    is 1 for the band of the set, 2 for the band below. Sketches of few elements have few parts, so
+    there are several of them, of other hashes. The part before, as 29 bits of its key, is 0 if
+    there's none: two sets need be paired only at the first of several equal parts in a row.
     """
     n = np.diff(off)
+    wanted = parts_needed(threshold)
     bounds = np.array(edges(threshold))
     band = np.searchsorted(bounds, n, "right") - 1
-    spread = mix(h ^ np.uint64(0xA5A5A5A5A5A5A5A5))
+    spread = mix(h ^ _SALT)
     code = mix((spread & np.uint64(0xFFFF)) + np.uint64(1))
-    high = spread >> np.uint64(32)
     row_of = np.repeat(np.arange(len(n)), n)
-    rows, keys, roles = [], [], []
+    rows, keys, tags = [], [], []
     for level in np.unique(np.concatenate((band[n > 0], band[n > 0] - 1))).tolist():
         if level < 0:
             continue
         most = int(bounds[level + 1] - 1)
         use = (n > 0) & ((band == level) | (band == level + 1))
-        mine = use[row_of]
-        hi, cd, rw = high[mine], code[mine], row_of[mine]
-        for f, parts in enumerate(families(most, threshold)):
-            part = ((hi * np.uint64(parts)) >> np.uint64(32)).astype(np.int64)
-            ok = part < PARTS if f < 2 else np.ones(len(part), bool)
-            width = max(PARTS, parts)
-            slot = rw[ok] * width + part[ok]
-            order = np.argsort(slot, kind="stable")
-            slot, c = slot[order], cd[ok][order]
-            if not len(slot):
-                continue
-            at = np.flatnonzero(np.concatenate(([True], slot[1:] != slot[:-1])))
-            size = np.diff(np.append(at, len(slot)))
-            x = np.bitwise_xor.reduceat(c, at)
-            s = slot[at]
-            strong = size >= (2 if f < 2 else 1)
-            s, x = s[strong], x[strong]
-            r = s // width
+        if most <= TINY:
+            r, k = _subset_keys(h, off, np.flatnonzero(use), level, threshold)
             rows.append(r)
-            keys.append(mix(x ^ mix((s % width + (f << 20) + (level << 24)).astype(np.uint64))))
-            roles.append(np.where(band[r] == level, 1, 2).astype(np.int8))
+            keys.append(k)
+            tags.append(np.where(band[r] == level, 1, 2).astype(np.int32))
+            continue
+        parts = -(-most // MEAN)
+        many = -(-wanted // parts)
+        mine = use[row_of]
+        sp, cd, rw = spread[mine], code[mine], row_of[mine]
+        slots, codes = [], []
+        for f in range(many):
+            high = (sp if not f else mix(sp + np.uint64(f))) >> np.uint64(32)
+            part = ((high * np.uint64(parts)) >> np.uint64(32)).astype(np.int64)
+            ok = part < wanted
+            slots.append((rw[ok] * many + f) * parts + part[ok])
+            codes.append(cd[ok])
+        slot, c = np.concatenate(slots), np.concatenate(codes)
+        if not len(slot):
+            continue
+        order = np.argsort(slot, kind="stable")
+        slot, c = slot[order], c[order]
+        at = np.flatnonzero(np.concatenate(([True], slot[1:] != slot[:-1])))
+        strong = np.diff(np.append(at, len(slot))) > 1
+        s = slot[at]
+        key = mix(np.bitwise_xor.reduceat(c, at) ^ mix((s % (many * parts) + (level << 40)).astype(np.uint64)))
+        before = np.zeros(len(s), np.int64)
+        follows = strong[:-1] & (s[1:] == s[:-1] + 1) & (s[1:] % parts > 0)
+        before[1:][follows] = (key[:-1][follows] & np.uint64((1 << 29) - 1)).astype(np.int64)
+        r = s[strong] // (many * parts)
+        rows.append(r)
+        keys.append(key[strong])
+        tags.append((before[strong] * 4 + np.where(band[r] == level, 1, 2)).astype(np.int32))
     if not rows:
         z = np.zeros(0, np.int64)
-        return z, z, z.astype(np.int8)
-    return np.concatenate(rows), np.concatenate(keys).view(np.int64), np.concatenate(roles)
+        return z, z, z.astype(np.int32)
+    return np.concatenate(rows), np.concatenate(keys).view(np.int64), np.concatenate(tags)
 
 
 def folded(h: np.ndarray, off: np.ndarray) -> np.ndarray:
@@ -98,43 +125,77 @@ def folded(h: np.ndarray, off: np.ndarray) -> np.ndarray:
     never exceeds the number of elements in which the sets differ."""
     n = len(off) - 1
     bits = WORDS * 64
-    bit = (mix(h ^ np.uint64(0xA5A5A5A5A5A5A5A5)) & np.uint64(bits - 1)).astype(np.int64)
+    bit = (mix(h ^ _SALT) & np.uint64(bits - 1)).astype(np.int64)
     slot = np.repeat(np.arange(n), np.diff(off)) * bits + bit
     odd = (np.bincount(slot, minlength=n * bits) & 1).astype(np.uint8).reshape(n, bits)
     return np.packbits(odd, axis=1, bitorder="little").view(np.int64).reshape(n, WORDS)
 
 
-def sketches(df: DataFrame, ngram: int, threshold: float) -> DataFrame:
-    """(doc_id, n, whole, sketch, keys) of each text with words; keys are structs of key and role."""
+def whole_hashes(h: np.ndarray, off: np.ndarray) -> np.ndarray:
+    """One hash of each set."""
+    total = np.concatenate((np.zeros(1, np.uint64), np.cumsum(mix(h ^ np.uint64(0x5851F42D4C957F2D)), dtype=np.uint64)))
+    return mix((total[off[1:]] - total[off[:-1]]) ^ np.diff(off).astype(np.uint64)).view(np.int64)
+
+
+def sketches(rows: DataFrame, ngram: int, threshold: float) -> DataFrame:
+    """(doc_id, row, whole, n, s0.., key, tag) of each text with words, whole the hash of its set of n-grams.
+
+    n, the sketch and the keys are null for a set that the task has just sent.
+    """
+    sk = [f"s{i}" for i in range(WORDS)]
 
     def make():
+        fresh = fresh_ids()
+
         def run(part: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
             for i in range(0, part.num_rows, 1024):
                 piece = part.slice(i, 1024)
                 h, _, off = distinct_shingles(piece.column(1), ngram)
                 n = np.diff(off)
-                row, key, role = part_keys(h, off, threshold)
+                whole = whole_hashes(h, off)
+                new = (n > 0) & fresh(whole)
+                at = np.flatnonzero(new)
+                mine = np.repeat(new, n)
+                h, off = h[mine], np.concatenate(([0], np.cumsum(n[at])))
+                row, key, tag = part_keys(h, off, threshold)
                 order = np.argsort(row, kind="stable")
-                koff = np.searchsorted(row[order], np.arange(len(n) + 1), "left")
-                whole = np.add.reduceat(np.append(mix(h ^ np.uint64(0x5851F42D4C957F2D)), np.uint64(0)), off[:-1]) if len(n) else np.zeros(0, np.uint64)
-                sk = folded(h, off)
-                arrays = [piece.column(0), pa.array(n), pa.array(whole.view(np.int64)), list_column(sk.reshape(-1), np.arange(len(n) + 1) * WORDS, pa.int64()), list_column(key[order], koff, pa.int64()), list_column(role[order], koff, pa.int8())]
-                yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "n", "whole", "sketch", "key", "role"]).filter(pa.array(n > 0))
+                place = np.full(len(n), -1)
+                place[at] = np.arange(len(at))
+                back = pa.array(place, pa.int64(), mask=~new)
+                koff = np.searchsorted(row[order], np.arange(len(at) + 1), "left")
+                columns = [n[at], *folded(h, off).T]
+                arrays = [piece.column(0), piece.column(2), pa.array(whole), *(pa.array(np.ascontiguousarray(c)).take(back) for c in columns), list_column(key[order], koff, pa.int64()).take(back), list_column(tag[order], koff, pa.int32()).take(back)]
+                yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "row", "whole", "n", *sk, "key", "tag"]).filter(pa.array(n > 0))
 
         return run
 
-    return by_slice(df, make, "doc_id long, n long, whole long, sketch array<long>, key array<long>, role array<byte>")
+    return by_slice(rows, make, f"doc_id long, row long, whole long, n long, {', '.join(f'{x} long' for x in sk)}, key array<long>, tag array<int>")
 
 
-def _hash_sets(df: DataFrame, ngram: int, keep=None) -> DataFrame:
+def _gram_sets(rows: DataFrame, wanted: DataFrame, ngram: int) -> DataFrame:
+    """(whole, grams) of the sets of wanted (doc_id, row, whole), each once.
+
+    Most texts that aren't wanted are passed over by a filter of bounded size; the join is exact.
+    """
+    keep = id_filter(wanted.select(F.xxhash64("doc_id", "row").alias("id")))
+
     def make():
-        def run(part: pa.RecordBatch) -> pa.RecordBatch:
+        fresh = fresh_ids()
+        chosen = keep()
+
+        def run(part: pa.RecordBatch) -> pa.RecordBatch | None:
+            part = part.filter(pa.array(chosen(part.column(3).to_numpy())))
+            if not part.num_rows:
+                return None
             h, _, off = distinct_shingles(part.column(1), ngram)
-            return pa.RecordBatch.from_arrays([part.column(0), list_column(h.view(np.int64), off, pa.int64())], names=["doc_id", "grams"])
+            whole = whole_hashes(h, off)
+            ok = pa.array((np.diff(off) > 0) & fresh(whole))
+            return pa.RecordBatch.from_arrays([pa.array(whole), list_column(h.view(np.int64), off, pa.int64())], names=["whole", "grams"]).filter(ok)
 
         return run
 
-    return by_slice(df, make, "doc_id long, grams array<long>", keep=keep)
+    made = by_slice(rows.withColumn("id", F.xxhash64("doc_id", "row")), make, "whole long, grams array<long>")
+    return made.join(wanted.select(F.col("whole").alias("want")), F.col("whole") == F.col("want"), "left_semi").dropDuplicates(["whole"])
 
 
 def _cells(near: DataFrame) -> DataFrame:
@@ -151,76 +212,117 @@ def _cells(near: DataFrame) -> DataFrame:
 
 
 def _verified(cells: DataFrame, grams: DataFrame, threshold: float) -> DataFrame:
-    """(doc_id, match_id, jaccard) of the pairs that reach the threshold.
+    """(hi, lo, jaccard) of the pairs that reach the threshold.
 
     A cell's sets come first, then its pairs; a cell's sets are in memory together.
     """
-    wanted = cells.select("cell", F.explode(F.array("hi", "lo")).alias("doc_id")).distinct()
-    sets = grams.join(wanted, "doc_id").select("cell", F.lit(0).alias("kind"), "doc_id", F.lit(None).cast("long").alias("lo"), "grams")
-    rows = sets.unionByName(cells.select("cell", F.lit(1).alias("kind"), F.col("hi").alias("doc_id"), "lo", F.lit(None).cast("array<long>").alias("grams")))
+    wanted = cells.select("cell", F.explode(F.array("hi", "lo")).alias("whole")).distinct()
+    sets = grams.join(wanted, "whole").select("cell", F.lit(0).alias("kind"), F.col("whole").alias("hi"), F.lit(None).cast("long").alias("lo"), "grams")
+    rows = sets.unionByName(cells.select("cell", F.lit(1).alias("kind"), "hi", "lo", F.lit(None).cast("array<long>").alias("grams")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cell, held = None, {}
         for b in batches:
-            cs, kinds, docs, los = (b.column(i).fill_null(0).to_numpy(zero_copy_only=False) for i in range(4))
+            cs, kinds, his, los = (b.column(i).fill_null(0).to_numpy(zero_copy_only=False) for i in range(4))
             lists = b.column(4)
             off = lists.offsets.to_numpy().astype(np.int64)
             values = lists.values.to_numpy(zero_copy_only=False)
             hi, lo, got = [], [], []
-            for i, (c, kind, d, o) in enumerate(zip(cs.tolist(), kinds.tolist(), docs.tolist(), los.tolist(), strict=True)):
+            for i, (c, kind, d, o) in enumerate(zip(cs.tolist(), kinds.tolist(), his.tolist(), los.tolist(), strict=True)):
                 if c != cell:
                     cell, held = c, {}
                 if not kind:
-                    held[d] = values[off[i] : off[i + 1]].copy()
+                    held[d] = np.sort(values[off[i] : off[i + 1]])
                     continue
                 p, q = held[d], held[o]
-                both = np.concatenate((p, q))
-                both.sort()
-                common = int((both[1:] == both[:-1]).sum())
+                if len(p) > len(q):
+                    p, q = q, p
+                common = int((q[np.minimum(np.searchsorted(q, p), len(q) - 1)] == p).sum())
                 j = common / (len(p) + len(q) - common)
                 if j >= threshold - 1e-12:
                     hi.append(d)
                     lo.append(o)
                     got.append(j)
-            yield pa.RecordBatch.from_arrays([pa.array(hi, pa.int64()), pa.array(lo, pa.int64()), pa.array(got, pa.float64())], names=["doc_id", "match_id", "jaccard"])
+            yield pa.RecordBatch.from_arrays([pa.array(hi, pa.int64()), pa.array(lo, pa.int64()), pa.array(got, pa.float64())], names=["hi", "lo", "jaccard"])
 
-    return rows.repartition("cell").sortWithinPartitions("cell", "kind").mapInArrow(run, "doc_id long, match_id long, jaccard double")
+    return rows.repartition("cell").sortWithinPartitions("cell", "kind").mapInArrow(run, "hi long, lo long, jaccard double")
+
+
+def _linked(rows: DataFrame, ngram: int, threshold: float) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, row, whole) of each text with words, and the pairs (hi, lo, jaccard) of sets, each by its whole."""
+    if not 0.5 <= threshold <= 0.99:
+        raise ValueError("threshold must be from 0.5 to 0.99")
+    sets = written(sketches(rows, ngram, threshold), "sketches")
+    once = sets.where("n IS NOT NULL")
+    keyed = once.select("whole", F.explode(F.arrays_zip("key", "tag")).alias("x")).select("x.key", "whole", "x.tag").repartition("key").groupBy("key", "whole").agg(F.min("tag").alias("tag"))
+    a, b = keyed.alias("a"), keyed.alias("b")
+    before = F.shiftright("a.tag", 2) != F.shiftright("b.tag", 2)
+    meet = (F.col("a.key") == F.col("b.key")) & (F.col("a.whole") > F.col("b.whole")) & (F.col("a.tag").bitwiseOR(F.col("b.tag")).bitwiseAND(1) == 1) & (before | (F.shiftright("a.tag", 2) == 0))
+    found = written(a.join(b, meet).select(F.col("a.whole").alias("hi"), F.col("b.whole").alias("lo")).distinct(), "sketch-candidates")
+    light = once.groupBy("whole").agg(F.any_value("n").alias("n"), *(F.any_value(f"s{i}").alias(f"s{i}") for i in range(WORDS)))
+    side = lambda name: light.select(F.col("whole").alias(name), *(F.col(c).alias(f"{name}_{c}") for c in light.columns[1:]))
+    both = found.join(side("hi"), "hi").join(side("lo"), "lo")
+    far = sum((F.bit_count(F.col(f"hi_s{i}").bitwiseXOR(F.col(f"lo_s{i}"))) for i in range(WORDS)), F.lit(0))
+    total, least, greatest = F.col("hi_n") + F.col("lo_n"), F.least("hi_n", "lo_n"), F.greatest("hi_n", "lo_n")
+    most = F.floor(total * ((1 - threshold) / (1 + threshold)) + 1e-9)
+    near = written(both.where((far <= most) & (least >= greatest * threshold - 1e-9)).select("hi", "lo", total.alias("n")), "sketch-pairs")
+    ids = near.select(F.explode(F.array("hi", "lo")).alias("want")).distinct()
+    holders = sets.groupBy("whole").agg(F.min(F.struct("doc_id", "row")).alias("x"))
+    wanted = written(holders.join(ids, holders["whole"] == ids["want"], "left_semi").select("whole", "x.doc_id", "x.row"), "sketch-wanted")
+    grams = written(_gram_sets(rows, wanted, ngram), "gram-sets")
+    return sets.select("doc_id", "row", "whole"), written(_verified(_cells(near), grams, threshold), "similar-sets")
+
+
+def _rows(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    return two(df, id_col, text_col).where("doc_id IS NOT NULL AND text IS NOT NULL").withColumn("row", F.xxhash64("text"))
+
+
+def _classes(rows: DataFrame, ngram: int, threshold: float) -> DataFrame:
+    """(doc_id, row, class_id, n_links, n_equal) of each text with words."""
+    sets, pairs = _linked(rows, ngram, threshold)
+    sets = sets.distinct()
+    links = pairs.select(F.explode(F.array("hi", "lo")).alias("whole")).groupBy("whole").agg(F.count("*").alias("n_links"))
+    root = components(pairs, "hi", "lo")
+    groups = sets.groupBy("whole").agg(F.min("doc_id").alias("least"), F.count("*").alias("n_equal"))
+    groups = groups.join(links, "whole", "left").join(root.withColumnRenamed("doc_id", "whole"), "whole", "left")
+    groups = written(groups.select("whole", "least", "n_equal", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("root", "whole").alias("root")), "set-groups")
+    least = groups.groupBy("root").agg(F.min("least").alias("class_id"))
+    groups = groups.join(least, "root").select("whole", "class_id", "n_links", "n_equal")
+    return sets.join(groups, "whole").select("doc_id", "row", "class_id", "n_links", "n_equal")
 
 
 def jaccard_join(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, ngram: int = NGRAM, threshold: float = THRESHOLD) -> DataFrame:
-    """Pairs of documents whose sets of word n-grams have a Jaccard similarity of at least ``threshold``:
-    (doc_id, match_id, jaccard), match_id the smaller id.
+    """One row per document with words: (doc_id, class_id, n_links, n_equal, is_first).
+
+    Two documents are linked if their sets of word n-grams have a Jaccard similarity of at least
+    ``threshold``. A class is a connected component of links, known by its smallest doc_id; is_first
+    marks that one. n_links counts the other sets that the document's set is linked to, equal sets
+    once; n_equal the documents of the same set, itself included. similar_pairs has the links.
 
-    Texts of equal sets are a group whose smallest id stands for it: each other member has one row,
-    similarity 1 to that id; groups are paired by their smallest ids. So the result is complete by
-    its connections and linear in groups of copies. Similarities are exact; the search finds a pair if
-    a part of their sketches is untouched by the difference, which holds for well over 0.9 of the pairs
-    at the threshold and nearly all above it. Nothing is capped.
+    Similarities are exact, by hash of n-grams. Sets of few n-grams are found by common subsets without
+    fail; of other pairs at the threshold less than one in MISSED has no equal part that it is
+    found by, and far fewer of more similar ones. Nothing is capped.
 
     Words are runs of letters, digits and non-ASCII characters in lower case; a text of fewer than
-    ``ngram`` words is one n-gram. Texts without words, null or empty, and rows with a null id match
-    nothing; repeated ids count once; empty tables give empty results; other columns are ignored.
+    ``ngram`` words is one n-gram. Texts without words, null or empty, and rows with a null id have no
+    row. Ids are cast to long. Rows that repeat an id and a text count once; different texts of one id
+    have a row each. Empty tables give empty results; other columns are ignored.
     """
-    if not 0.5 <= threshold <= 0.99:
-        raise ValueError("threshold must be from 0.5 to 0.99")
-    docs = two(df, id_col, text_col).where("doc_id IS NOT NULL")
-    sets = written(sketches(docs, ngram, threshold), "sketches")
-    groups = written(sets.groupBy("n", "whole").agg(F.min("doc_id").alias("rep")), "sketch-groups")
-    same = sets.select("doc_id", "n", "whole").join(groups, ["n", "whole"]).where("doc_id != rep").select("doc_id", F.col("rep").alias("match_id"), F.lit(1.0).alias("jaccard")).distinct()
-    reps = sets.join(groups.select(F.col("rep").alias("doc_id"), F.col("n").alias("rn"), F.col("whole").alias("rw")), "doc_id").where("n = rn AND whole = rw")
-    keyed = reps.select("doc_id", F.explode(F.arrays_zip("key", "role")).alias("x")).select("doc_id", "x.key", "x.role").repartition("key")
-    a, b = keyed.alias("a"), keyed.alias("b")
-    found = a.join(b, (F.col("a.key") == F.col("b.key")) & (F.col("a.doc_id") > F.col("b.doc_id")) & ((F.col("a.role") == 1) | (F.col("b.role") == 1)))
-    found = written(found.select(F.col("a.doc_id").alias("hi"), F.col("b.doc_id").alias("lo")).distinct(), "sketch-candidates")
-    light = sets.select("doc_id", "n", "sketch")
-    both = found.join(light.select(F.col("doc_id").alias("hi"), F.col("n").alias("n1"), F.col("sketch").alias("s1")), "hi").join(light.select(F.col("doc_id").alias("lo"), F.col("n").alias("n2"), F.col("sketch").alias("s2")), "lo")
-    far = sum((F.bit_count(F.col("s1")[i].bitwiseXOR(F.col("s2")[i])) for i in range(WORDS)), F.lit(0))
-    most = F.floor((F.col("n1") + F.col("n2")) * ((1 - threshold) / (1 + threshold)) + 1e-9)
-    near = written(both.where((far <= most) & (F.least("n1", "n2") >= F.greatest("n1", "n2") * threshold - 1e-9)).groupBy("hi", "lo").agg(F.max(F.col("n1") + F.col("n2")).alias("n")), "sketch-pairs")
-    wanted = written(near.select(F.explode(F.array("hi", "lo")).alias("want")).distinct(), "sketch-wanted")
-    some, keep = with_ids(docs, wanted, "want")
-    grams = written(_hash_sets(some, ngram, keep).dropDuplicates(["doc_id"]), "gram-sets")
-    return _verified(_cells(near), grams, threshold).unionByName(same)
+    out = _classes(_rows(df, id_col, text_col), ngram, threshold)
+    return out.select("doc_id", "class_id", "n_links", "n_equal", (F.col("doc_id") == F.col("class_id")).alias("is_first"))
+
+
+def similar_pairs(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, ngram: int = NGRAM, threshold: float = THRESHOLD) -> DataFrame:
+    """The links between different sets: (doc_id, match_id, jaccard), each set by its smallest doc_id, match_id the smaller.
+
+    A pair of sets is a row, so links grow with the square of the versions of a text. Rows are treated
+    as jaccard_join says; two sets of the same smallest doc_id, as an id repeats, are a row of that id twice.
+    """
+    sets, pairs = _linked(_rows(df, id_col, text_col), ngram, threshold)
+    rep = sets.groupBy("whole").agg(F.min("doc_id").alias("rep"))
+    named = lambda c: rep.select(F.col("whole").alias(c), F.col("rep").alias(f"{c}_rep"))
+    both = pairs.join(named("hi"), "hi").join(named("lo"), "lo")
+    return both.select(F.greatest("hi_rep", "lo_rep").alias("doc_id"), F.least("hi_rep", "lo_rep").alias("match_id"), "jaccard")
 
 
 def components(pairs: DataFrame, a: str = "doc_id", b: str = "match_id") -> DataFrame:
@@ -250,9 +352,12 @@ def components(pairs: DataFrame, a: str = "doc_id", b: str = "match_id") -> Data
 
 
 def one_of_each(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, ngram: int = NGRAM, threshold: float = THRESHOLD) -> DataFrame:
-    """df with one row, that of the smallest id, of each group of documents connected by jaccard_join.
+    """df with one document, that of the smallest id, of each class of jaccard_join.
 
-    Rows without words or with a null id stay. Rows that repeat an id stay or go together.
+    Rows without words, null texts included, or with a null id stay. Rows that repeat an id and a text
+    stay or go together; of different texts of one id each goes with its own class.
     """
-    gone = components(jaccard_join(df, id_col, text_col, ngram=ngram, threshold=threshold)).select(F.col("doc_id").alias("__gone__"))
-    return df.join(gone, df[f"`{id_col}`"].cast("long") == gone["__gone__"], "left_anti")
+    classes = _classes(_rows(df, id_col, text_col), ngram, threshold)
+    gone = classes.where("doc_id != class_id").select(F.col("doc_id").alias("__gone__"), F.col("row").alias("__row__"))
+    here = (df[f"`{id_col}`"].cast("long") == gone["__gone__"]) & (F.xxhash64(df[f"`{text_col}`"].cast("string")) == gone["__row__"])
+    return df.join(gone, here, "left_anti")

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import buffers, by_slice, mix, prefix_hash, span_hash, two, written
+from .common import buffers, by_slice, fresh_ids, mix, prefix_hash, span_hash, two, written
 
 #: Edits (insertions, deletions, substitutions of characters) up to which lines are the same.
 EDITS = 2
@@ -21,8 +21,6 @@ EDIT_CHARS = 20
 HOT = 1024
 #: Lines on each side of a cell.
 CELL = 8192
-#: Slots, of 8 bytes, by which a task remembers lines that it has sent.
-_SEEN = 1 << 20
 _SPACE = np.array([9, 10, 11, 12, 13, 32, 160], np.uint32)
 
 
@@ -211,15 +209,13 @@ def _signatures(rows: DataFrame, edits: int, min_chars: int) -> DataFrame:
     names = ["key", "line", "role"]
 
     def make():
-        seen = np.zeros(_SEEN, np.int64)
+        fresh = fresh_ids()
 
         def run(part: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
             units, s, e, _, _ = line_table(part.column(1), min_chars)
             h = prefix_hash(units)
             ids, first = np.unique(line_ids(h, s, e), return_index=True)
-            slot = ids & (_SEEN - 1)
-            new = seen[slot] != ids
-            seen[slot] = ids
+            new = fresh(ids)
             ids, first = ids[new], first[new]
             s, e = s[first], e[first]
             for key, who, role in signatures(h, s, e, edits):
@@ -442,7 +438,7 @@ def without_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     inner = df.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(names)])
     k = names.index(text_col)
     key, text = inner[f"c{names.index(id_col)}"].cast("long"), inner[f"c{k}"].cast("string")
-    joined = inner.join(gone, (key == gone["gone_id"]) & (F.xxhash64(text) == gone["gone_row"]), "left").drop("gone_id", "gone_row")
+    joined = inner.join(gone.hint("shuffle_hash"), (key == gone["gone_id"]) & (F.xxhash64(text) == gone["gone_row"]), "left").drop("gone_id", "gone_row")
 
     def make():
         def run(part: pa.RecordBatch) -> pa.RecordBatch:

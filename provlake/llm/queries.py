@@ -63,15 +63,20 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_suffix_array_dedup": op10_suffix_array_dedup,
 }
 ORACLES: dict[str, str] = {
-    # equal sets of bigrams go to the least id, least ids are paired by all their common bigrams
+    # equal sets of bigrams are one node, known by its least id; nodes are paired by all their common bigrams
     "op3_ngram_jaccard": r"""
-WITH w AS (SELECT doc_id, regexp_extract_all(lower(text), '[0-9a-z\x{80}-\x{10FFFF}]+') AS ws FROM documents WHERE doc_id IS NOT NULL),
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(lower(text), '[0-9a-z\x{80}-\x{10FFFF}]+') AS ws FROM documents WHERE doc_id IS NOT NULL),
 s AS (SELECT doc_id, list_sort(list_distinct(CASE WHEN len(ws) = 1 THEN ws ELSE [ws[i] || ' ' || ws[i + 1] for i in range(1, len(ws))] END)) AS grams FROM w WHERE len(ws) > 0),
-r AS (SELECT doc_id, len(grams) AS n, grams, min(doc_id) OVER (PARTITION BY md5(array_to_string(grams, '|'))) AS rep FROM s),
-g AS (SELECT doc_id, n, unnest(grams) AS gram FROM r WHERE doc_id = rep),
-p AS (SELECT a.doc_id, b.doc_id AS match_id, count(*) AS c, any_value(a.n) AS n, any_value(b.n) AS m FROM g a JOIN g b ON a.gram = b.gram AND a.doc_id > b.doc_id GROUP BY ALL)
-SELECT doc_id, match_id, c / (n + m - c) AS jaccard FROM p WHERE c / (n + m - c) >= 0.7
-UNION ALL SELECT doc_id, rep, 1.0 FROM r WHERE doc_id <> rep
+r AS MATERIALIZED (SELECT doc_id, len(grams) AS n, grams, min(doc_id) OVER (PARTITION BY md5(array_to_string(grams, '|'))) AS rep FROM s),
+g AS MATERIALIZED (SELECT doc_id, n, unnest(grams) AS gram FROM r WHERE doc_id = rep),
+p AS (SELECT a.doc_id, b.doc_id AS match_id, count(*) AS c, any_value(a.n) AS n, any_value(b.n) AS m FROM g a JOIN g b ON a.gram = b.gram AND a.doc_id > b.doc_id GROUP BY ALL),
+q AS MATERIALIZED (SELECT doc_id, match_id FROM p WHERE c / (n + m - c) >= 0.7),
+e AS MATERIALIZED (SELECT doc_id AS x, match_id AS y FROM q UNION ALL SELECT match_id, doc_id FROM q),
+reach AS (SELECT DISTINCT x AS a, x AS b FROM e UNION SELECT reach.a, e.y FROM reach JOIN e ON reach.b = e.x),
+root AS (SELECT a, min(b) AS root FROM reach GROUP BY a),
+links AS (SELECT x, count(*) AS k FROM e GROUP BY x)
+SELECT r.doc_id, coalesce(root, rep) AS class_id, coalesce(k, 0) AS n_links, count(*) OVER (PARTITION BY rep) AS n_equal, r.doc_id = coalesce(root, rep) AS is_first
+FROM r LEFT JOIN root ON root.a = r.rep LEFT JOIN links ON links.x = r.rep
 """,
     # every run of 50 words by its text, then passages as stretches of runs whose first occurrences go on side by side
     "op10_suffix_array_dedup": r"""
