@@ -35,7 +35,13 @@ _DIGIT[[*b"0123456789"]] = True
 _PEM = re.compile(rb"-----BEGIN ([A-Z0-9 ]{0,40}PRIVATE KEY)-----([A-Za-z0-9+/=\s\\nr:,.-]*?)-----END \1-----")
 _JWT = re.compile(rb"(?<![A-Za-z0-9_-])([A-Za-z0-9_-]{10,})\.([A-Za-z0-9_-]{2,})\.([A-Za-z0-9_-]*)(?![A-Za-z0-9_.-])")
 _ACCESS = re.compile(rb"(?<![A-Za-z0-9])(gh[pousr]_)([0-9A-Za-z]{30})([0-9A-Za-z]{6})(?![0-9A-Za-z])")
-_NAMED = re.compile(rb"(?i)(?<![a-z0-9])[a-z0-9_.-]{0,30}(?:token|secret|passw(?:or)?d|api[_-]?key|access[_-]?key|private[_-]?key|auth|credential)s?[\"']?\s{0,3}(?::=|=>|=|:)\s{0,3}(?:bearer\s)?[\"']?$")
+_NAMED = re.compile(rb"(?i)(?:token|secret|passw(?:or)?d|api[_-]?key|access[_-]?key|private[_-]?key|auth|credential)s?[\"']?\s{0,3}(?::=|=>|=|:)\s{0,3}(?:bearer\s)?[\"']?$")
+#: Bytes before a value that its name and the signs between are in at most.
+_BEFORE = 40
+#: Where a DER sequence or an OpenSSH key may begin in base64 or hex; its lengths tell where it ends.
+_KEY_64 = re.compile(rb"(?=(M[A-I][A-Za-z0-9+/_-]{10}|b3BlbnNzaC1rZXktdjEA))")
+_KEY_16 = re.compile(rb"(?i)(?=(30(?:8[1-4]|[1-7][0-9a-f])[0-9a-f]{14}))")
+_CHARS_64 = re.compile(rb"([A-Za-z0-9+/_-]+)(?:\s|\\[nr])*")
 _HEX = re.compile(rb"(?:[0-9a-f]{2})+\Z|(?:[0-9A-F]{2})+\Z")
 _B64 = re.compile(rb"[A-Za-z0-9+/]+={0,2}\Z|[A-Za-z0-9_-]+={0,2}\Z")
 _SIGNATURE = {"HS256": (32, 32), "HS384": (48, 48), "HS512": (64, 64), "ES256": (64, 64), "ES256K": (64, 64), "ES384": (96, 96), "ES512": (132, 132), "EdDSA": (64, 114), "none": (0, 0)} | {a + b: (128, 2048) for a in ("RS", "PS") for b in ("256", "384", "512")}
@@ -105,7 +111,8 @@ def der_kind(raw: bytes) -> str | None:
     return None
 
 
-def openssh_kind(raw: bytes) -> str | None:
+def openssh_end(raw: bytes) -> int | None:
+    """Where an OpenSSH private key that these bytes begin with ends; None if a nested length is off."""
     magic = b"openssh-key-v1\0"
     if not raw.startswith(magic):
         return None
@@ -124,7 +131,58 @@ def openssh_kind(raw: bytes) -> str | None:
             return None
         parts.append(raw[at : at + n])
         at += n
-    return "openssh_private_key" if at == len(raw) and parts[0].isascii() and parts[4] else None
+    return at if parts[0].isascii() and parts[4] else None
+
+
+def openssh_kind(raw: bytes) -> str | None:
+    return "openssh_private_key" if openssh_end(raw) == len(raw) else None
+
+
+def _gathered(raw: bytes, at: int, need: int | None) -> tuple[bytes, int]:
+    """Up to ``need`` base64 characters from ``at`` on, over line ends, and the end of the last of them."""
+    out, end, left = [], at, need
+    while (m := _CHARS_64.match(raw, at)) and (left is None or left > 0):
+        piece = m[1] if left is None else m[1][:left]
+        out.append(piece)
+        end, at = m.start() + len(piece), m.end()
+        left = left if left is None else left - len(piece)
+    return b"".join(out), end
+
+
+def embedded_keys(raw: bytes, s: int, e: int) -> list[tuple[str, int, int, str]]:
+    """Key encodings that begin anywhere in raw[s:e]; those in base64 may go on over the lines that follow."""
+    out: list[tuple[str, int, int, str]] = []
+    done = s
+    for m in _KEY_64.finditer(raw, s, e):
+        at = m.start()
+        if at < done:
+            continue
+        head = unbase64(m[1][:12]) or b""
+        if m[1].startswith(b"b3"):
+            got, _ = _gathered(raw, at, None)
+            body = unbase64(got[: len(got) // 4 * 4]) or b""
+            size = openssh_end(body + (unbase64(got[len(got) // 4 * 4 :]) or b"" if len(got) % 4 > 1 else b""))
+        else:
+            size = tlv(head + bytes(8), 0, 1 << 40)[2] if tlv(head + bytes(8), 0, 1 << 40) else None
+        if size is None or size < 16 or size > len(raw):
+            continue
+        need = -(-size * 4 // 3)
+        got, end = _gathered(raw, at, need)
+        if len(got) == need and (kind := key_kind((unbase64(got) or b"")[:size])):
+            while raw[end : end + 1] == b"=" and end - at < need + 2 + raw[at:end].count(b"\n") * 2:
+                end += 1
+            out.append((kind, at, end, "base64"))
+            done = end
+    for m in _KEY_16.finditer(raw, s, e):
+        at = m.start()
+        head = tlv(bytes.fromhex(m[1].decode()) + bytes(8), 0, 1 << 40)
+        if at < done or head is None or head[2] < 16 or at + 2 * head[2] > e:
+            continue
+        piece = raw[at : at + 2 * head[2]]
+        if _HEX.match(piece) and (kind := der_kind(bytes.fromhex(piece.decode()))):
+            out.append((kind, at, at + len(piece), "hex"))
+            done = at + len(piece)
+    return out
 
 
 def key_kind(raw: bytes | None) -> str | None:
@@ -167,20 +225,32 @@ def scan_run(raw: bytes, s: int, e: int) -> list[tuple[str, int, int, str]]:
             code = code * 62 + _B62.index(b)
         if crc == code:
             out.append(("access_token", s + m.start(), s + m.end(), m[1].decode()))
-    if out:
-        return out
+    for k in embedded_keys(raw, s, e):
+        if not any(a < k[2] and k[1] < b for _, a, b, _ in out):
+            out.append(k)
+    # what is left of the run between them
+    left, at = [], s
+    for _, a, b, _ in sorted(out, key=lambda x: x[1]):
+        left.append((at, a))
+        at = max(at, b)
+    for a, b in [*left, (at, e)]:
+        out += _assigned(raw, a, b)
+    return out
+
+
+def _assigned(raw: bytes, s: int, e: int) -> list[tuple[str, int, int, str]]:
+    """Random bytes of raw[s:e] to which a name of secrets is given."""
+    out = []
     at = s
-    for piece in re.split(rb"(?<![=])=+(?=[^=])|\.", run):
+    for piece in re.split(rb"(?<![=])=+(?=[^=])|\.", raw[s:e]) if e > s else ():
         at = raw.index(piece, at) if piece else at
         end = at + len(piece)
         if len(piece) >= MIN_RUN:
             as_hex = bytes.fromhex(piece.decode()) if _HEX.match(piece) else None
             as_64 = None if as_hex else unbase64(piece)
-            if kind := key_kind(as_hex) or key_kind(as_64):
-                out.append((kind, at, end, "hex" if as_hex else "base64"))
-            elif (as_hex or as_64) and (m := _NAMED.search(raw[max(0, at - 60) : at])):
+            if (as_hex or as_64) and _NAMED.search(raw[max(0, at - _BEFORE) : at]):
                 got = as_hex or as_64 or b""
-                ok = len(got) in KEY_BYTES and random_looking(got) if as_hex else 15 <= len(got) <= 512 and random_looking(got) and _entropy(piece) > 3.5 and any(48 <= b < 58 for b in piece)
+                ok = len(got) in KEY_BYTES and random_looking(got) if as_hex else len(got) >= 15 and random_looking(got) and _entropy(piece) > 3.5 and any(48 <= b < 58 for b in piece)
                 if ok:
                     out.append(("assigned_key", at, end, f"{'hex' if as_hex else 'base64'} {len(got)} bytes"))
         at = end
@@ -252,9 +322,11 @@ def _rows(column: pa.Array):
 def secret_scan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per confirmed secret: kind, start and length in characters, detail, SHA-256 of the secret.
 
-    The secret itself isn't returned. Narrow: no shuffle. Null and empty texts have none; a repeated
-    row reports its secrets again; a null id is carried; an empty table gives an empty result; other
-    columns are ignored. Key blocks with header lines are read over lines; bare runs end at a space.
+    The secret itself isn't returned. Keys are found wherever their encoding begins, next to other
+    secrets or in a longer run, and over line ends; their nested lengths say where they end. Narrow: no
+    shuffle. Null and empty texts have none, very long ones are scanned whole; a repeated row reports
+    its secrets again; a null id is carried, ids are cast to long; an empty table gives an empty
+    result; other columns are ignored.
     """
 
     def make():
@@ -275,7 +347,11 @@ def secret_scan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
 
 
 def redacted(df: DataFrame, text_col: str = "text") -> DataFrame:
-    """df with each confirmed secret replaced by ``[SECRET:kind]``; all rows and columns stay."""
+    """df with each confirmed secret replaced by ``[SECRET:kind]``; all rows and columns stay.
+
+    Null and empty texts stay as they are, as do ids, null or repeated; repeated rows are treated alike,
+    an empty table stays empty, and very long texts are scanned whole.
+    """
     names = df.columns
     inner = df.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(names)])
     k = names.index(text_col)

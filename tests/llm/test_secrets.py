@@ -80,3 +80,76 @@ def test_scan_and_redaction(spark):
         assert "[SECRET:" in red[i] and red[i].startswith("é words before") and red[i].endswith("after") and not secrets.scan_text(red[i].encode())
     assert all(red[100 + i] == t for i, t in enumerate(CLEAN))
     assert secrets.secret_scan(df.limit(0)).count() == 0 and secrets.redacted(df.limit(0)).count() == 0
+
+
+def test_keys_next_to_tokens_and_in_longer_runs():
+    key = base64.b64encode(RSA).decode().rstrip("=")
+    wrapped = "\n".join(key[i : i + 64] for i in range(0, len(key), 64))
+    ec, t = base64.b64encode(EC).decode().rstrip("="), jwt()
+    for text, kinds in {
+        f"{t}/{key}": ["signed_token", "rsa_private_key"],
+        f"{t}.{key}": ["signed_token", "rsa_private_key"],
+        f"{access()}.{ec} x": ["access_token", "ec_private_key"],
+        f"path/to/{key}": ["rsa_private_key"],
+        f"raw\n{wrapped}\nend": ["rsa_private_key"],
+        f"{key}/{ec}": ["rsa_private_key", "ec_private_key"],
+        f"aa{EC.hex()}00": ["ec_private_key"],
+        f"raw {base64.b64encode(ssh()).decode()} end": ["openssh_private_key"],
+        f"a_name_that_is_far_longer_than_thirty_characters_token = {KEY.hex()}": ["assigned_key"],
+        f"auth: {base64.b64encode(R.randbytes(3000)).decode()}": ["assigned_key"],
+    }.items():
+        got = secrets.scan_text(text.encode())
+        if text.startswith(f"{t}."):  # a token of four parts isn't one; the key in it is
+            assert [g[0] for g in got] in (kinds, kinds[1:]), text[:40]
+        else:
+            assert [g[0] for g in got] == kinds, (text[:40], got)
+        assert all(a[2] <= b[1] for a, b in zip(got, got[1:]))
+
+
+def _parses(raw):
+    """The values of a DER sequence that fills raw, by a parser of its own; None if lengths don't add up."""
+
+    def value(at, end):
+        tag, n = raw[at], raw[at + 1]
+        at += 2
+        if n > 127:
+            k = n - 128
+            n, at = int.from_bytes(raw[at : at + k], "big"), at + k
+        if at + n > end:
+            raise IndexError
+        return tag, at, at + n
+
+    try:
+        tag, a, b = value(0, len(raw))
+        if tag != 0x30 or b != len(raw):
+            return None
+        out = []
+        while a < b:
+            t, x, a = value(a, b)
+            out.append((t, raw[x:a]))
+        return out
+    except IndexError:
+        return None
+
+
+def test_embedded_keys_equal_brute_force():
+    """Every stretch of characters that decodes to an elliptic-curve key, tried one by one."""
+    r = random.Random(9)
+    chars = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
+    for _ in range(12):
+        key = base64.b64encode(der(0x30, number(1) + der(4, r.randbytes(r.choice([16, 24, 32]))))).decode().rstrip("=")
+        if r.random() < 0.3:
+            key = key[:6] + r.choice(chars) + key[7:]
+        junk = lambda: "".join(r.choice(chars) for _ in range(r.randrange(20)))
+        text = junk() + key + junk()
+        want = set()
+        for i in range(len(text)):
+            for j in range(i + 20, len(text) + 1):
+                if (j - i) % 4 == 1:
+                    continue
+                raw = base64.b64decode(text[i:j] + "=" * (-(j - i) % 4))
+                kids = _parses(raw) if raw[:1] == b"0" else None
+                if kids and len(kids) == 2 and kids[0] == (2, b"\x01") and kids[1][0] == 4 and 16 <= len(kids[1][1]) <= 66:
+                    want.add(i)
+        got = {s for kind, s, _, _ in secrets.embedded_keys(text.encode(), 0, len(text)) if kind == "ec_private_key"}
+        assert got == want
