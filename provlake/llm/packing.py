@@ -16,8 +16,6 @@ from .tokens import TOKENIZERS, byte_bpe
 CONTEXT = 2048
 #: Tokens that follow each document's own.
 END_TOKENS = 1
-#: Slots of patterns that are sent to executors with the code; more are joined instead.
-MOST_SENT = 1 << 20
 
 
 def patterns(histogram: dict[int, int], context: int) -> list[tuple[tuple[int, ...], int]]:
@@ -73,17 +71,30 @@ def patterns(histogram: dict[int, int], context: int) -> list[tuple[tuple[int, .
 
 
 def slots(found: list[tuple[tuple[int, ...], int]]) -> np.ndarray:
-    """Rows (length, first rank, ranks, first pack, offset in the pack), by length and rank."""
+    """Rows (length, first rank, packs, first pack, offset in the pack, how many there side by side), by length and rank.
+
+    A length goes in a pattern as one row however often, and a pattern has at most sqrt(2 * context)
+    different lengths; so the rows are bounded by the context alone, about 64 a pattern for 2048.
+    """
     at: dict[int, int] = defaultdict(int)
     rows, pack = [], 0
     for pattern, count in found:
         offset = 0
-        for length in pattern:
-            rows.append((length, at[length], count, pack, offset))
-            at[length] += count
-            offset += length
+        for length in dict.fromkeys(pattern):
+            many = pattern.count(length)
+            rows.append((length, at[length], count, pack, offset, many))
+            at[length] += count * many
+            offset += length * many
         pack += count
-    return np.array(sorted(rows), np.int64).reshape(-1, 5)
+    return np.array(sorted(rows), np.int64).reshape(-1, 6)
+
+
+def placed(table: np.ndarray, length: np.ndarray, rank: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Pack and offset of the pieces of a length by their rank among those of the length."""
+    shift = 40
+    k = np.searchsorted((table[:, 0] << shift) + table[:, 1], (length << shift) + rank, "right") - 1
+    i, many = rank - table[k, 1], table[k, 5]
+    return table[k, 3] + i // many, table[k, 4] + i % many * length
 
 
 def pieces(df: DataFrame, id_col: str, text_col: str, context: int, end_tokens: int, tokenizers: str) -> DataFrame:
@@ -110,35 +121,30 @@ def pack_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     Texts are tokenized, ``end_tokens`` added, and cut into pieces of up to ``context`` tokens. The
     histogram of lengths, at most ``context`` rows, goes to the driver, which makes the patterns; the
-    i-th piece of a length, in the order of (doc_id, piece), takes the i-th slot of that length.
-    Packs number from 0; no pack holds more than ``context`` tokens; each piece is in one pack.
-
-    Ranks are taken within buckets of ids, with offsets from bucket counts, so no task sees all pieces
-    of a length. Only (doc_id, piece, start, n_tokens) is shuffled. Null and empty texts have no
-    pieces; a null id is an id like others, before them; repeated rows each have pieces; an empty
-    table gives an empty result; other columns are ignored.
+    i-th piece of a length, in the order of (doc_id, piece, start), takes the i-th slot of that length.
+    So the result doesn't depend on how the rows are partitioned. Packs number from 0; no pack holds
+    more than ``context`` tokens; each piece is in one pack.
+
+    Ranks are taken within ranges of ids, with offsets from the ranges' counts, so no task sees all
+    pieces of a length, however many rows an id has. Only (doc_id, piece, start, n_tokens) is shuffled.
+    Null and empty texts have no pieces, very long ones many; ids are cast to long, a null id is an id
+    like others, before them; repeated rows each have pieces, of equal ones any first; an empty table
+    gives an empty result; other columns are ignored.
     """
-    spark = df.sparkSession
     cut = written(pieces(df, id_col, text_col, context, end_tokens, tokenizers), "pieces")
-    buckets = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    cut = cut.withColumn("bucket", F.pmod(F.xxhash64("doc_id"), F.lit(buckets)).cast("int"))
-    counts = written(cut.groupBy("n_tokens", "bucket").agg(F.count("*").alias("c")), "piece-counts")
+    # equal pieces may be dealt to several ranges: their order doesn't matter
+    order = ("doc_id", "piece", "start", "n_tokens")
+    ranges = cut.withColumn("deal", F.monotonically_increasing_id()).repartitionByRange(*order, "deal").withColumn("part", F.spark_partition_id()).drop("deal")
+    cut = written(ranges, "ranged-pieces")
+    counts = written(cut.groupBy("n_tokens", "part").agg(F.count("*").alias("c")), "piece-counts")
     table = slots(patterns({r[0]: r[1] for r in counts.groupBy("n_tokens").agg(F.sum("c")).collect()}, context))
-    before = counts.select("n_tokens", "bucket", (F.sum("c").over(Window.partitionBy("n_tokens").orderBy("bucket")) - F.col("c")).alias("before"))
-    inside = F.row_number().over(Window.partitionBy("bucket", "n_tokens").orderBy("doc_id", "piece", "start"))
-    ranked = cut.withColumn("i", inside).join(before.hint("merge"), ["n_tokens", "bucket"]).select("doc_id", "piece", "start", "n_tokens", (F.col("i") - 1 + F.col("before")).alias("rank"))
-    if len(table) > MOST_SENT:
-        at = spark.createDataFrame(table.tolist(), "length long, first long, many long, pack long, pack_offset long")
-        placed = ranked.join(at, (F.col("n_tokens") == F.col("length")) & (F.col("rank") >= F.col("first")) & (F.col("rank") < F.col("first") + F.col("many")))
-        return placed.select("doc_id", "piece", "start", "n_tokens", (F.col("pack") + F.col("rank") - F.col("first")).alias("pack_id"), F.col("pack_offset").cast("int").alias("pack_offset"))
+    before = counts.select("n_tokens", "part", (F.sum("c").over(Window.partitionBy("n_tokens").orderBy("part")) - F.col("c")).alias("before"))
+    inside = F.row_number().over(Window.partitionBy("part", "n_tokens").orderBy("doc_id", "piece", "start"))
+    ranked = cut.withColumn("i", inside).join(before.hint("merge"), ["n_tokens", "part"]).select("doc_id", "piece", "start", "n_tokens", (F.col("i") - 1 + F.col("before")).alias("rank"))
 
     def place(batches):
-        shift = 40
-        keys = (table[:, 0] << shift) + table[:, 1]
         for b in batches:
-            n, rank = b.column(3).to_numpy().astype(np.int64), b.column(4).to_numpy()
-            k = np.searchsorted(keys, (n << shift) + rank, "right") - 1
-            pack = table[k, 3] + rank - table[k, 1]
-            yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(4)), pa.array(pack), pa.array(table[k, 4].astype(np.int32))], names=["doc_id", "piece", "start", "n_tokens", "pack_id", "pack_offset"])
+            pack, offset = placed(table, b.column(3).to_numpy().astype(np.int64), b.column(4).to_numpy())
+            yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(4)), pa.array(pack), pa.array(offset.astype(np.int32))], names=["doc_id", "piece", "start", "n_tokens", "pack_id", "pack_offset"])
 
     return ranked.mapInArrow(place, "doc_id long, piece int, start long, n_tokens int, pack_id long, pack_offset int")

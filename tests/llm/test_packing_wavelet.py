@@ -18,15 +18,28 @@ def brute(lengths, context):
     return packs
 
 
-def test_patterns_place_all_and_waste_as_little_as_one_at_a_time():
+def test_patterns_equal_one_at_a_time():
     r = random.Random(0)
     for context in (16, 64):
-        for _ in range(30):
+        for _ in range(60):
             lengths = [min(context, int(context ** r.random()) + 1) for _ in range(r.randint(1, 300))]
             found = packing.patterns(Counter(lengths), context)
-            assert Counter({k: v for k, v in Counter(x for p, c in found for x in p * c).items()}) == Counter(lengths)
+            assert Counter(x for p, c in found for x in p * c) == Counter(lengths)
             assert all(sum(p) <= context and c > 0 for p, c in found)
-            assert sum(c for _, c in found) <= len(brute(lengths, context)) * 1.1 + 1
+            packs = brute(lengths, context)
+            assert sum(c for _, c in found) <= len(packs) * 1.1 + 1
+            table = packing.slots(found)
+            at = defaultdict(list)
+            for length, n in Counter(lengths).items():
+                for pack, offset in zip(*packing.placed(table, np.full(n, length), np.arange(n))):
+                    at[int(pack)].append((int(offset), length))
+            assert sorted(at) == list(range(sum(c for _, c in found)))
+            for p in at.values():
+                end = 0
+                for offset, length in sorted(p):
+                    assert offset == end
+                    end += length
+                assert end <= context
 
 
 def test_packs(spark):
@@ -55,6 +68,23 @@ def test_packs(spark):
     assert packing.pack_documents(df.limit(0)).count() == 0
 
 
+def test_packs_take_pieces_in_order_whatever_the_partitions(spark):
+    r = random.Random(3)
+    rows = [(i * 7 % 101, " ".join(f"word{r.randrange(99)}" for _ in range(r.choice([1, 5, 30, 400])))) for i in range(101)] + [(7, "one id " * r.randrange(1, 90)) for _ in range(150)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    a, b = (sorted(tuple(x) for x in packing.pack_documents(df.repartition(n), context=128).collect()) for n in (1, 7))
+    assert a == b
+    enc = byte_bpe()
+    cut = sorted((d, p // 128, p, min(128, n - p)) for d, t in rows for n in [len(enc.encode_ordinary(t)) + 1] for p in range(0, n, 128))
+    table = packing.slots(packing.patterns(Counter(x[3] for x in cut), 128))
+    rank, want = Counter(), []
+    for x in cut:
+        pack, offset = packing.placed(table, np.array([x[3]]), np.array([rank[x[3]]]))
+        rank[x[3]] += 1
+        want.append((*x, int(pack[0]), int(offset[0])))
+    assert a == sorted(want)
+
+
 def test_wavelet_matrix_equals_the_sequence():
     r = np.random.default_rng(0)
     for n, top in ((0, 2), (1, 1), (700, 2), (5000, 50000), (3000, 70000), (512, 300)):
