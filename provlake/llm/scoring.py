@@ -33,8 +33,10 @@ SIDE = 2
 WIDTH = 16
 BATCH = 4096
 RATE = 0.1
-#: Passes over the corpus; after each, the tasks' weights are averaged by their numbers of words.
+#: Passes over the corpus; after each, the shards' weights are averaged by their numbers of words.
 EPOCHS = 1
+#: Words of a shard, about, that a set of weights is trained on.
+SHARD_WORDS = 1 << 20
 _BLOCKS = 16
 
 
@@ -226,36 +228,58 @@ def contexts(code: np.ndarray, first: np.ndarray, codes: int = CODES) -> np.ndar
     return out
 
 
+def sharded(docs: DataFrame, shards: int) -> DataFrame:
+    """(doc_id, text, shard), a shard in one partition and in the order of ids and texts."""
+    row = F.xxhash64("text")
+    dealt = docs.select("doc_id", "text", F.pmod(F.xxhash64("doc_id", row), F.lit(shards)).cast("int").alias("shard"))
+    return dealt.repartition(shards, "shard").sortWithinPartitions("shard", "doc_id", row)
+
+
 def train(docs: DataFrame, known: np.ndarray, rank: np.ndarray, flat: np.ndarray, rate: float = RATE, codes: int = CODES) -> np.ndarray:
-    """Weights after a pass over the corpus: each task trains on all its texts, then all are averaged.
+    """Weights after a pass over docs as sharded: each shard trains a copy on all its texts, then all are averaged.
 
-    Weights travel in blocks of rows, of the embeddings only those that a task has changed; each block
-    is averaged by one task, so the driver gets one set, not one a task.
+    Batches are so many words of a shard, in its order, so the weights don't depend on how the rows are
+    partitioned. Weights travel in blocks of rows, of the embeddings only those that a shard has
+    changed; each block is averaged by one task, so the driver gets one set, not one a shard.
     """
     ends = 2 * SIDE * (codes + 1) * WIDTH  # of the embeddings
     edges = np.append(np.linspace(0, ends // WIDTH, _BLOCKS + 1).astype(int) * WIDTH, len(flat))
+    names = ["block", "part", "n", "at", "w"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark import TaskContext
+        w, n, shard = Window(flat.copy(), codes), 0, None
+        x, y = np.zeros((2 * SIDE, 0), np.int64), np.zeros(0, np.int64)
+
+        def step(all_: bool) -> None:
+            nonlocal x, y
+            at = 0
+            while len(y) - at >= (1 if all_ else BATCH):
+                w.step(np.ascontiguousarray(x[:, at : at + BATCH]), y[at : at + BATCH], rate)
+                at += BATCH
+            x, y = x[:, at:], y[at:]
+
+        def close() -> Iterator[pa.RecordBatch]:
+            step(True)
+            for k, (a, b) in enumerate(zip(edges, edges[1:], strict=False)) if n else ():
+                size = WIDTH if b <= ends else 1
+                now = w.flat[a:b].reshape(-1, size)
+                at = np.flatnonzero((now != flat[a:b].reshape(-1, size)).any(1)).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([shard], pa.int32()), pa.array([n], pa.int64()), pa.array([at.tobytes()], pa.binary()), pa.array([now[at].tobytes()], pa.binary())], names=names)
 
-        w, n = Window(flat.copy(), codes), 0
-        ctx = TaskContext.get()
         for b in batches:
-            for part in slices(b):
-                h, first = word_hashes(part.column(1))
-                if not len(h):
-                    continue
-                y = codes_of(h, known, rank, codes)
-                x = contexts(y, first, codes)
-                for i in range(0, len(y), BATCH):
-                    w.step(np.ascontiguousarray(x[:, i : i + BATCH]), y[i : i + BATCH], rate)
-                n += len(y)
-        if n:
-            for k, (a, b) in enumerate(zip(edges, edges[1:], strict=False)):
-                step = WIDTH if b <= ends else 1
-                now = w.flat[a:b].reshape(-1, step)
-                at = np.flatnonzero((now != flat[a:b].reshape(-1, step)).any(1)).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([ctx.partitionId() if ctx else 0], pa.int32()), pa.array([n], pa.int64()), pa.array([at.tobytes()], pa.binary()), pa.array([now[at].tobytes()], pa.binary())], names=["block", "part", "n", "at", "w"])
+            of = b.column(2).to_numpy()
+            cut = np.concatenate(([0], np.flatnonzero(of[1:] != of[:-1]) + 1, [len(of)])) if len(of) else np.zeros(1, np.int64)
+            for lo, hi in zip(cut.tolist(), cut[1:].tolist(), strict=False):
+                if int(of[lo]) != shard:
+                    yield from close()
+                    w, n, shard = Window(flat.copy(), codes), 0, int(of[lo])
+                for part in slices(b.slice(lo, hi - lo)):
+                    h, first = word_hashes(part.column(1))
+                    code = codes_of(h, known, rank, codes)
+                    x, y = np.concatenate((x, contexts(code, first, codes)), 1), np.concatenate((y, code))
+                    n += len(code)
+                    step(False)
+        yield from close()
 
     def mean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[int, list] = {}
@@ -277,25 +301,35 @@ def train(docs: DataFrame, known: np.ndarray, rank: np.ndarray, flat: np.ndarray
     return out
 
 
+def trained(docs: DataFrame, *, epochs: int = EPOCHS, frequent: int = FREQUENT, least: int = LEAST, rate: float = RATE, seed: int = 0) -> tuple:
+    """(counts of all words, hashes of the frequent ones, their codes, how often each code occurs, weights) from all texts."""
+    counts = written(word_counts(docs.select("doc_id", "text")), "word-counts")
+    known, rank, per = vocabulary(counts, min(frequent, CODES - 1), least)
+    codes = len(per)
+    flat = Window.fresh(per, seed)
+    shards = max(1, -(-int(per.sum()) // SHARD_WORDS))
+    for _ in range(epochs):
+        flat = train(sharded(docs, shards), known, rank, flat, rate, codes)
+    return counts, known, rank, per, flat
+
+
 def pseudo_likelihood(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, epochs: int = EPOCHS, frequent: int = FREQUENT, least: int = LEAST, rate: float = RATE, seed: int = 0) -> DataFrame:
-    """(doc_id, n_tokens, pseudo_log_likelihood, mean_log_prob) of each row.
+    """(doc_id, n_tokens, pseudo_log_likelihood, mean_log_prob) of each row, the same, but for rounding,
+    however the rows are partitioned.
 
     The sum, over all words of a text, of the log-probability of the word given SIDE words on either
     side: of its code by the network, and of the word among those of its code by the counts. Words are
     counted, the network trained, and texts scored over the whole table. A model has a code for each
-    word that occurs ``least`` times, 256 bytes each. Texts without words, null or empty, have 0
+    word that occurs ``least`` times, 256 bytes each. Texts are dealt by hash of id and text to shards of
+    about SHARD_WORDS words, each trained on in order by one task. Ids are cast to long. Texts without words, null or empty, have 0
     tokens, a likelihood of 0 and a null mean. Repeated rows are scored each, and count in training; a
-    null id is carried; an empty table gives an empty result; other columns are ignored. Three scans;
-    words' counts, by task, the tasks' changed weights and the words of each text that share codes,
-    which are joined with their counts, are all that is shuffled.
+    null id is carried; an empty table gives an empty result; other columns are ignored. Very long texts
+    are scored whole. Three scans; shuffled are the texts once a pass, words' counts, by task, the shards'
+    changed weights, and the words of each text that share codes, which are joined with their counts.
     """
     docs = two(df, id_col, text_col)
-    counts = written(word_counts(docs.select("doc_id", "text")), "word-counts")
-    known, rank, per = vocabulary(counts, min(frequent, CODES - 1), least)
+    counts, known, rank, per, flat = trained(docs, epochs=epochs, frequent=frequent, least=least, rate=rate, seed=seed)
     codes = len(per)
-    flat = Window.fresh(per, seed)
-    for _ in range(epochs):
-        flat = train(docs, known, rank, flat, rate, codes)
 
     def make():
         from pyspark import TaskContext

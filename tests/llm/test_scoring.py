@@ -82,3 +82,36 @@ def test_vocabulary_grows_with_the_counts(spark):
     w = scoring.Window(scoring.Window.fresh(per), len(per))
     x = np.repeat(scoring.contexts(np.array([5, 9, 700]), np.array([0, 3]), len(per))[:, 1:2], len(per), 1)
     assert w.digits == 3 and abs(np.exp(w.forward(x, np.arange(len(per)))[3].astype(float)).sum() - 1) < 1e-3
+
+
+def test_scores_equal_brute_force_whatever_the_partitions(spark, monkeypatch):
+    monkeypatch.setattr(scoring, "SHARD_WORDS", 500)
+    r = random.Random(5)
+    rows = [(i % 80 if i else None, phrases(r, r.randrange(12)) + " ".join(f" rare{r.randrange(3000)}" for _ in range(r.randrange(9)))) for i in range(120)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    a, b = (sorted((-1 if x["doc_id"] is None else x["doc_id"], x["n_tokens"], round(x["pseudo_log_likelihood"], 7)) for x in scoring.pseudo_likelihood(df.repartition(n)).collect()) for n in (1, 6))
+    assert a == b
+    counts, known, rank, per, flat = scoring.trained(df.select("doc_id", "text"))
+    often = {x["word"] & (2**64 - 1): x["n"] for x in counts.collect()}
+    w, codes, side = scoring.Window(flat, len(per)), len(per), scoring.SIDE
+    want = []
+    for d, t in rows:
+        h = scoring.word_hashes(pa.array([t]))[0]
+        code = scoring.codes_of(h, known, rank, codes).tolist()
+        total = 0.0
+        for i, c in enumerate(code):
+            hidden = w.of["b"].astype(float)
+            for p, shift in enumerate([*range(-side, 0), *range(1, side + 1)]):
+                near = code[i + shift] if 0 <= i + shift < len(code) else codes
+                hidden = hidden + w.of["e"][near + p * (codes + 1)]
+            hidden = np.tanh(hidden)
+            before = 0
+            for k in range(w.digits):
+                digit = c // scoring.DIGIT ** (w.digits - 1 - k) % scoring.DIGIT
+                z = hidden @ w.of[f"w{k}"] + w.of[f"c{k}"][before]
+                total += z[digit] - np.log(np.exp(z).sum())
+                before = before * scoring.DIGIT + digit
+            total += np.log(often[int(h[i])] / per[c])
+        want.append((-1 if d is None else d, len(code), total))
+    for x, y in zip(a, sorted(want, key=lambda v: (v[0], v[1], round(v[2], 3)))):
+        assert x[:2] == y[:2] and abs(x[2] - y[2]) < 1e-3 * (1 + x[1])
