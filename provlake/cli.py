@@ -42,7 +42,9 @@ def parser() -> argparse.ArgumentParser:
     for name in ("status", "delete", "copy", "rebase"):
         c = s.add_parser(name)
         c.add_argument("features", nargs="*")
-        c.add_argument("--filter", action="append", default=[])
+        c.add_argument("--filter", action="append", default=[], help="holds rows of the features named, or of all")
+        if name in ("status", "copy"):
+            c.add_argument("--global-filter", action="append", default=[])
         if name == "status":
             c.add_argument("--progress", action="store_true")
             c.add_argument("--assert-in-sync", action="store_true")
@@ -103,7 +105,9 @@ def _with_store(a: argparse.Namespace, store: Any, say: Any, config: Config, spa
         d = diff.compare(old, graph)
         say({"added": d.added, "removed": d.removed, "changed": [c.key for c in d.changed]})
     elif a.command == "status":
-        got = report(store, a.features or None, progress=a.progress, stale_if=a.stale_if)
+        named = {k: a.filter for k in a.features} if a.filter else None
+        every = [*a.global_filter, *([] if a.features else a.filter)] or None
+        got = report(store, a.features or None, progress=a.progress, stale_if=a.stale_if, filters=named, global_filters=every)
         say([x.__dict__ | {"progress": x.progress.percent if x.progress else None} for x in got])
         return int(a.assert_in_sync and any(x.category in ("missing", "needs_update") for x in got))
     elif a.command == "delete":
@@ -114,7 +118,8 @@ def _with_store(a: argparse.Namespace, store: Any, say: Any, config: Config, spa
                 store.delete(k, a.filter or None, soft=not a.hard)
     elif a.command == "copy":
         source = config.open_store(spark, a.source, graph)
-        say(store.copy_from(source, a.features or None, filters={k: a.filter for k in a.features} if a.filter else None))
+        every = [*a.global_filter, *([] if a.features else a.filter)] or None
+        say(store.copy_from(source, a.features or None, filters={k: a.filter for k in a.features} if a.filter else None, global_filters=every))
     elif a.command == "rebase":
         for k in a.features:
             rows = store.read(k, feature_version=a.from_version, filters=a.filter or None, fallback=False)

@@ -19,15 +19,16 @@ def _comparable(kind: T.DataType) -> bool:
     return not isinstance(kind, T.MapType)
 
 
-def keep_latest(df: DataFrame, ids: Sequence[str], by: Sequence[str], ties: Sequence[str] = ()) -> DataFrame:
+def keep_latest(df: DataFrame, ids: Sequence[str], by: Sequence[str], ties: Sequence[str] = (), *, whole: bool = True) -> DataFrame:
     """Of the rows of each id the one for which the first non-null of ``by`` is greatest, as a whole row.
 
-    Ties go by ``ties`` and then by a hash of the row, so the result doesn't depend on the order of
-    rows. A row whose ``by`` are all null comes last. Null ids are an id. Spark drops the losers of
+    Ties go by ``ties`` and then, if ``whole``, by a hash of the row, so the result doesn't depend on the
+    order of rows; without it a scan reads no columns but those that are asked for, and rows that tie
+    in all of ``ties`` are taken for the same. A row whose ``by`` are all null comes last. Null ids are an id. Spark drops the losers of
     each task before the shuffle.
     """
-    names = [f.name for f in df.schema if _comparable(f.dataType)]
-    order = [F.coalesce(*map(col, by)).desc_nulls_last(), *[col(c).desc_nulls_last() for c in ties], F.xxhash64(*map(col, names)).desc()]
+    last = [F.xxhash64(*[col(f.name) for f in df.schema if _comparable(f.dataType)]).desc()] if whole else []
+    order = [F.coalesce(*map(col, by)).desc_nulls_last(), *[col(c).desc_nulls_last() for c in ties], *last]
     rank = F.row_number().over(Window.partitionBy(*map(col, ids)).orderBy(*order))
     return df.withColumn("__rank__", rank).where("__rank__ = 1").drop("__rank__")
 

@@ -23,9 +23,12 @@ class Increment:
     stale: DataFrame
     orphaned: DataFrame
     input: DataFrame | None = None
+    changed: DataFrame | None = None
 
     def changes(self) -> DataFrame:
-        """new and stale in one frame, with a status column."""
+        """new and stale in one frame, with a status column; by one join, where resolve made one."""
+        if self.changed is not None:
+            return self.changed
         return self.new.withColumn(STATUS, F.lit("new")).unionByName(self.stale.withColumn(STATUS, F.lit("stale")), allowMissingColumns=True)
 
     def persist(self) -> Increment:
@@ -66,7 +69,11 @@ def resolve(expected: DataFrame, current: DataFrame | None, ids: Sequence[str],
     new = expected.join(side.select(*map(C.col, ids)), ids, "left_anti")
     stale = expected.join(side, ids, "inner").where(_stale("__stored__", C.PROV, "__marked__")).select(*map(C.col, expected.columns))
     orphaned = current.join(expected.select(*map(C.col, ids)), ids, "left_anti")
-    return Increment(new, stale, orphaned, expected)
+    # both sides are worked out once
+    found = expected.join(side.withColumn("__there__", F.lit(True)), ids, "left")
+    status = F.when(F.col("__there__").isNull(), "new").when(_stale("__stored__", C.PROV, "__marked__"), "stale")
+    changed = found.withColumn(STATUS, status).where(C.col(STATUS).isNotNull()).select(*map(C.col, expected.columns), STATUS)
+    return Increment(new, stale, orphaned, expected, changed)
 
 
 def tagged(expected: DataFrame, current: DataFrame, ids: Sequence[str], *, stale_if: Sequence[object] = ()) -> DataFrame:

@@ -44,6 +44,14 @@ class Files:
         out.close()
         return True
 
+    def move_into(self, source: str, target: str) -> None:
+        """Move the files of a folder into another, which is made if it's missing."""
+        fs, to = self._at(target)
+        fs.mkdirs(to)
+        for s in fs.listStatus(self._at(source)[1]):
+            if not fs.rename(s.getPath(), self._jvm.org.apache.hadoop.fs.Path(to, s.getPath().getName())):
+                raise OSError(f"{s.getPath()} couldn't be moved to {target}")
+
     def delete(self, path: str) -> None:
         fs, p = self._at(path)
         fs.delete(p, True)

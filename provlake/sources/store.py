@@ -8,12 +8,12 @@ from contextlib import contextmanager
 from dataclasses import dataclass
 from typing import Any
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
 from ..functions import hashing
-from ..functions.filters import both, parse
+from ..functions.filters import both, parse, to_sql
 from ..graph import FeatureGraph
 from ..model import FeatureKey
 from ..operators.dedup import keep_latest
@@ -117,7 +117,7 @@ class Store:
         part = None if feature_history else feature_version or self.graph.feature_version(key)
         df = owner.table(key).read(part)
         if not sample_history:
-            df = keep_latest(df, self.graph[key].id_columns, [C.DELETED, C.UPDATED], [C.CREATED])
+            df = keep_latest(df, self.graph[key].id_columns, [C.DELETED, C.UPDATED], [C.CREATED, C.RUN, C.PROV, C.DATA], whole=False)
         if not deleted:
             df = df.where(C.col(C.DELETED).isNull())
         if (cond := both(filters)) is not None:
@@ -145,8 +145,12 @@ class Store:
         own[C.RUN] = F.lit(run_id or self.run_id).cast("string")
         return df.withColumns(own)
 
-    def write(self, key: Any, df: DataFrame, *, run_id: str | None = None, keep_version: bool = False, deleting: bool = False) -> None:
-        """Append rows. A column of per-field provenance is needed; the rest is made where it's missing."""
+    def write(self, key: Any, df: DataFrame, *, run_id: str | None = None, keep_version: bool = False, deleting: bool = False) -> int:
+        """Append rows; how many, as seen while they were written. A column of per-field provenance is needed;
+        the rest is made where it's missing.
+
+        Rows that keep their versions go to a folder each by one write.
+        """
         self._need_write()
         key = FeatureKey.of(key)
         spec = self.graph[key]
@@ -156,19 +160,17 @@ class Store:
             raise ValueError(f"{key}: rows lack the id columns {lack}")
         with self.transaction() as now:
             out = self._stamped(df, key, run_id, keep_version, deleting, now)
-            if keep_version and C.FEATURE_VERSION in df.columns:
-                for (version,) in out.select(C.FEATURE_VERSION).distinct().collect():  # a few versions of one feature
-                    same = C.col(C.FEATURE_VERSION).eqNullSafe(F.lit(version))
-                    self.table(key).append(out.where(same), version or "none", create=self.create_tables)
-            else:
-                self.table(key).append(out, self.graph.feature_version(key), create=self.create_tables)
-
-    def write_many(self, frames: Mapping[Any, DataFrame], **kw: Any) -> None:
-        """Children before parents, so a reader that sees a parent's rows sees its children's."""
+            seen = Observation()
+            out = out.observe(seen, F.count(F.lit(1)).alias("n"))
+            part = None if keep_version and C.FEATURE_VERSION in df.columns else self.graph.feature_version(key)
+            self.table(key).append(out, part, create=self.create_tables)
+            return seen.get["n"]
+
+    def write_many(self, frames: Mapping[Any, DataFrame], **kw: Any) -> dict[str, int]:
+        """Children before parents, so a reader that sees a parent's rows sees its children's; rows written by feature."""
         by = {FeatureKey.of(k): v for k, v in frames.items()}
         with self.transaction():
-            for key in self.graph.sorted(by, descending=True):
-                self.write(key, by[key], **kw)
+            return {str(key): self.write(key, by[key], **kw) for key in self.graph.sorted(by, descending=True)}
 
     def delete(self, key: Any, filters: Any = None, *, soft: bool = True, feature_history: bool = False) -> None:
         """Soft: live rows that match get a deletion time and are appended. Hard: all their rows go."""
@@ -186,15 +188,19 @@ class Store:
             hit = hit & (C.col(C.FEATURE_VERSION) == F.lit(version))
         t = self.table(key)
         if isinstance(t, FormatTable):
-            raise NotImplementedError("delete_where of the table takes the condition as SQL")
-        t.rewrite(lambda df: df.where(~F.coalesce(hit, F.lit(False))))
+            t.delete_where(to_sql(self.spark, F.coalesce(hit, F.lit(False)), t.schema))
+        else:
+            t.rewrite(lambda df: df.where(~F.coalesce(hit, F.lit(False))))
 
     def drop(self, key: Any) -> None:
         self._need_write()
         self.table(key).drop()
 
-    def copy_from(self, other: Store, keys: Iterable[Any] | None = None, *, filters: Mapping[Any, Any] | None = None, feature_history: bool = True, sample_history: bool = False) -> dict[str, int]:
-        """Append another store's features, their versions kept; rows copied by feature."""
+    def copy_from(self, other: Store, keys: Iterable[Any] | None = None, *, filters: Mapping[Any, Any] | None = None, global_filters: Any = None, feature_history: bool = True, sample_history: bool = False) -> dict[str, int]:
+        """Append another store's features, their versions kept; rows copied by feature, counted as they're written.
+
+        ``filters`` hold rows of a feature by its key, ``global_filters`` those of all.
+        """
         self._need_write()
         wanted = self.graph.sorted(keys) if keys is not None else [k for k in self.graph.sorted() if other.has(k)]
         cond = {FeatureKey.of(k): v for k, v in (filters or {}).items()}
@@ -204,8 +210,9 @@ class Store:
                 if not other.has(key):
                     continue
                 df = other.read(key, filters=cond.get(key), fallback=False, feature_history=feature_history, sample_history=sample_history, deleted=sample_history)
-                self.write(key, df, keep_version=True)
-                out[str(key)] = df.count()
+                if (every := both(global_filters)) is not None:
+                    df = df.where(every)
+                out[str(key)] = self.write(key, df, keep_version=True)
         return out
 
     # ---------------------------------------------------------------- resolving
@@ -277,6 +284,12 @@ class Store:
         out = rest.join(side, ids, "inner").withColumns({C.DATA: F.coalesce("__data__", C.col(C.PROV)), C.DATA_BY_FIELD: F.coalesce("__each__", C.col(C.PROV_BY_FIELD))}).drop("__data__", "__each__")
         return out.withColumns({C.FEATURE_VERSION: F.lit(graph.feature_version(key)), C.PROJECT_VERSION: F.lit(graph.project_version())})
 
+    def runs(self, key: Any, *, feature_history: bool = True) -> DataFrame:
+        """(run id, rows, first and mean creation time as seconds) of each run that wrote rows of the feature."""
+        df = self.read(key, fallback=False, feature_history=feature_history, sample_history=True, deleted=True)
+        at = F.unix_micros(C.col(C.CREATED))
+        return df.groupBy(C.col(C.RUN).alias("run_id")).agg(F.count("*").alias("n"), (F.min(at) / 1e6).alias("first_at"), (F.sum(at).cast("double") / F.count(at) / 1e6).alias("mean_at"))
+
     def progress(self, key: Any, increment: Increment | None = None) -> Progress:
         """Input units in all and those without any row yet."""
         inc = increment or self.resolve_update(key)
@@ -285,15 +298,22 @@ class Store:
         got = dict(count(inc.input if inc.input is not None else inc.new, "total").unionByName(count(inc.new, "new")).groupBy("what").count().collect())
         return Progress(got.get("total", 0), got.get("new", 0))
 
-    def counts(self, key: Any, *, stale_if: Sequence[Any] = ()) -> dict[str, int]:
-        """How many rows are new, stale, fresh and orphaned, in one job."""
+    def tags(self, key: Any, *, stale_if: Sequence[Any] = (), filters: Mapping[Any, Any] | None = None, global_filters: Any = None) -> DataFrame:
+        """The status of every input unit and stored row, in one pass: new, stale, fresh or orphaned."""
         plan = self.graph.plan(key)
-        out = dict.fromkeys(("new", "stale", "fresh", "orphaned"), 0)
-        expected = self.expected(key)
-        if not self.has(key):
-            return out | {"new": expected.count()}
         ids = plan.compare_ids
-        e = expected.select(*map(C.col, ids), C.col(C.PROV)).dropDuplicates(ids)
+        e = self.expected(key, filters=filters, global_filters=global_filters).select(*map(C.col, ids), C.col(C.PROV)).dropDuplicates(ids)
+        if not self.has(key):
+            return e.select(F.lit("new").alias("status"))
         c = self.read(key, fallback=False)
+        own = (filters or {}).get(FeatureKey.of(key), (filters or {}).get(str(FeatureKey.of(key))))
+        for f in (own, global_filters):
+            if (cond := both(f)) is not None:
+                c = c.where(cond)
         c = c.dropDuplicates(ids) if set(ids) != set(plan.spec.id_columns) else c
-        return out | dict(tagged(e, c, ids, stale_if=stale_if).groupBy("status").count().collect())
+        return tagged(e, c, ids, stale_if=stale_if).select("status")
+
+    def counts(self, key: Any, *, stale_if: Sequence[Any] = (), filters: Mapping[Any, Any] | None = None, global_filters: Any = None) -> dict[str, int]:
+        """How many rows are new, stale, fresh and orphaned, in one job."""
+        got = self.tags(key, stale_if=stale_if, filters=filters, global_filters=global_filters).groupBy("status").count().collect()
+        return dict.fromkeys(("new", "stale", "fresh", "orphaned"), 0) | dict(got)

@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import json
 import re
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import columns as C
@@ -30,11 +32,13 @@ def merged(a: T.DataType, b: T.DataType, name: str = "") -> T.DataType:
 
 
 class ParquetTable:
-    """<path>/log/NNNNNNNN.json has the generation and schema; data is in <path>/gNNNNNNNN/<part>/.
+    """<path>/log/NNNNNNNN.json has the generation's folder and the schema; data is in <path>/<folder>/<part>/.
 
-    A part is a feature version, so that reading one version opens its folder alone. Appends add files.
-    Rewriting writes the next generation and then its log entry; a reader has either all of the old
-    one or all of the new. The schema comes from the log: no file is opened to plan a read.
+    A part is a feature version, so that reading one version opens its folder alone. Appends add files and
+    a log entry; one that finds its generation replaced meanwhile writes its rows again to the new one,
+    so they may be there twice, but never lost. Rewriting writes a folder of its own and then its log entry; it
+    fails if anything was appended meanwhile, and can be tried again. The generation before stays for
+    its readers until the next rewrite. The schema comes from the log: no file is opened to plan a read.
     """
 
     def __init__(self, spark: SparkSession, path: str):
@@ -44,9 +48,8 @@ class ParquetTable:
         names = [n for n in self.files.list(f"{self.path}/log") if re.fullmatch(r"\d{8}\.json", n)]
         return (int(names[-1][:8]), json.loads(self.files.read(f"{self.path}/log/{names[-1]}"))) if names else None
 
-    def _commit(self, at: int, entry: dict) -> None:
-        if not self.files.create(f"{self.path}/log/{at:08d}.json", json.dumps(entry)):
-            raise RuntimeError(f"{self.path} was changed by another writer; try again")
+    def _commit(self, at: int, entry: dict) -> bool:
+        return self.files.create(f"{self.path}/log/{at:08d}.json", json.dumps(entry))
 
     @property
     def exists(self) -> bool:
@@ -64,22 +67,38 @@ class ParquetTable:
         if log is None:
             raise TableMissing(self.path)
         schema = T.StructType.fromJson(log[1]["schema"])
-        at = f"{self.path}/g{log[1]['generation']:08d}"
+        at = f"{self.path}/{log[1]['folder']}"
         parts = [part] if part is not None else self.files.list(at)
         paths = [f"{at}/{p}" for p in parts if self.files.exists(f"{at}/{p}")]
         return self.spark.read.schema(schema).parquet(*paths) if paths else self.spark.createDataFrame([], schema)
 
-    def append(self, df: DataFrame, part: str, *, create: bool = True) -> None:
-        log = self._log()
-        if log is None and not create:
-            raise TableMissing(f"{self.path} isn't there, and this store doesn't create tables")
+    def append(self, df: DataFrame, part: str | None, *, create: bool = True) -> None:
+        """Add rows to a part; without one each row goes to that of its feature version, by one write."""
         df = C.typed(df)
-        number, entry = log or (-1, {"generation": 0, "schema": T.StructType([]).jsonValue()})
-        old = T.StructType.fromJson(entry["schema"])
-        schema = merged(old, df.schema)
-        df.write.mode("append").parquet(f"{self.path}/g{entry['generation']:08d}/{part}")
-        if log is None or schema.json() != old.json():
-            self._commit(number + 1, entry | {"schema": schema.jsonValue()})
+        done = None
+        while True:
+            log = self._log()
+            if log is None and not create:
+                raise TableMissing(f"{self.path} isn't there, and this store doesn't create tables")
+            number, entry = log or (-1, {"folder": "g0", "schema": T.StructType([]).jsonValue()})
+            schema = merged(T.StructType.fromJson(entry["schema"]), df.schema)
+            if done != entry["folder"]:
+                self._put(df, f"{self.path}/{entry['folder']}", part)
+                done = entry["folder"]
+            if self._commit(number + 1, entry | {"schema": schema.jsonValue()}):
+                return
+
+    def _put(self, df: DataFrame, folder: str, part: str | None) -> None:
+        if part is not None:
+            df.write.mode("append").parquet(f"{folder}/{part}")
+            return
+        # a column of the folder's name, which isn't stored; the folders are then named by the versions alone
+        staged = f"{folder}-{uuid.uuid4().hex}"
+        df.withColumn("__part__", F.coalesce(C.col(C.FEATURE_VERSION), F.lit("none"))).write.partitionBy("__part__").parquet(staged)
+        for name in self.files.list(staged):
+            if name.startswith("__part__="):
+                self.files.move_into(f"{staged}/{name}", f"{folder}/{name[len('__part__='):]}")
+        self.files.delete(staged)
 
     def rewrite(self, keep) -> None:
         """Replace the contents by keep(part's rows), part by part, as a new generation."""
@@ -87,10 +106,14 @@ class ParquetTable:
         if log is None:
             raise TableMissing(self.path)
         number, entry = log
-        for part in self.files.list(f"{self.path}/g{entry['generation']:08d}"):
-            keep(self.read(part)).write.parquet(f"{self.path}/g{entry['generation'] + 1:08d}/{part}")
-        self._commit(number + 1, entry | {"generation": entry["generation"] + 1})
-        self.files.delete(f"{self.path}/g{entry['generation']:08d}")
+        folder = f"g{number + 1}-{uuid.uuid4().hex}"
+        for part in self.files.list(f"{self.path}/{entry['folder']}"):
+            keep(self.read(part)).write.parquet(f"{self.path}/{folder}/{part}")
+        if not self._commit(number + 1, entry | {"folder": folder, "before": entry["folder"]}):
+            self.files.delete(f"{self.path}/{folder}")
+            raise RuntimeError(f"{self.path} was changed by another writer; try again")
+        if "before" in entry:
+            self.files.delete(f"{self.path}/{entry['before']}")
 
     def drop(self) -> None:
         self.files.delete(self.path)
@@ -116,7 +139,7 @@ class FormatTable:
         df = self.spark.table(self.name)
         return df.where(C.col(C.FEATURE_VERSION) == part) if part is not None and C.FEATURE_VERSION in df.columns else df
 
-    def append(self, df: DataFrame, part: str, *, create: bool = True) -> None:
+    def append(self, df: DataFrame, part: str | None, *, create: bool = True) -> None:
         if not self.exists and not create:
             raise TableMissing(self.name)
         df = C.typed(df)
@@ -137,7 +160,5 @@ def jdbc(spark: SparkSession, url: str, table: str, **options: str) -> DataFrame
 
 def write_jdbc(df: DataFrame, url: str, table: str, **options: str) -> None:
     """Append to a table of a database; structs and maps go as JSON text."""
-    from pyspark.sql import functions as F
-
     flat = [F.to_json(C.col(f.name)).alias(f.name) if isinstance(f.dataType, T.StructType | T.MapType | T.ArrayType) else C.col(f.name) for f in df.schema]
     df.select(*flat).write.format("jdbc").options(url=url, dbtable=table, **options).mode("append").save()
