@@ -310,7 +310,7 @@ def tail_n(spark, sf):
 @query("SELECT event_type, count(*) AS n, count(DISTINCT user_id) AS users, min(ts) AS first_at, CAST(sum(epoch_us(ts)) AS DOUBLE) / count(*) AS mean_at_us FROM events GROUP BY event_type")
 def version_summary(spark, sf):
     e = table(spark, sf, "events")
-    return e.groupBy("event_type").agg(F.count("*").alias("n"), F.count_distinct("user_id").alias("users"), F.min("ts").alias("first_at"), (F.sum(F.unix_micros(F.col("ts").cast("timestamp"))).cast("double") / F.count("*")).alias("mean_at_us"))
+    return e.groupBy("event_type").agg(F.count("*").alias("n"), F.count_distinct("user_id").alias("users"), F.min("ts").alias("first_at"), (F.sum(F.unix_micros(F.col("ts").cast("timestamp")).cast("decimal(38,0)")).cast("double") / F.count("*")).alias("mean_at_us"))
 
 
 @query("SELECT event_type, user_id, value FROM events WHERE event_type IN ('click', 'view') AND user_id = 1")
@@ -418,3 +418,6 @@ def _is_dir(spark, path: str) -> bool:
 
     fs, p = Files(spark)._at(path)
     return fs.getFileStatus(p).isDirectory()
+
+
+from . import store_queries  # noqa: E402, F401  (registers its queries)

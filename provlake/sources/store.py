@@ -287,8 +287,8 @@ class Store:
     def runs(self, key: Any, *, feature_history: bool = True) -> DataFrame:
         """(run id, rows, first and mean creation time as seconds) of each run that wrote rows of the feature."""
         df = self.read(key, fallback=False, feature_history=feature_history, sample_history=True, deleted=True)
-        at = F.unix_micros(C.col(C.CREATED))
-        return df.groupBy(C.col(C.RUN).alias("run_id")).agg(F.count("*").alias("n"), (F.min(at) / 1e6).alias("first_at"), (F.sum(at).cast("double") / F.count(at) / 1e6).alias("mean_at"))
+        at = F.unix_micros(C.col(C.CREATED)).cast("decimal(38,0)")  # a sum of longs would overflow
+        return df.groupBy(C.col(C.RUN).alias("run_id")).agg(F.count("*").alias("n"), (F.min(at).cast("double") / 1e6).alias("first_at"), (F.sum(at).cast("double") / F.count(at) / 1e6).alias("mean_at"))
 
     def progress(self, key: Any, increment: Increment | None = None) -> Progress:
         """Input units in all and those without any row yet."""
