@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import reduce
 from itertools import combinations
 
 import numpy as np
@@ -15,15 +16,22 @@ from .common import by_slice, distinct_shingles, fresh_ids, id_filter, list_colu
 
 NGRAM = 2
 THRESHOLD = 0.7
-#: Mean elements of a sketch's part.
+#: Mean elements of a sketch's part, and least of a part that sets are found by: equal parts of fewer are mostly of common n-grams.
 MEAN = 3
+STRONG = 3
 #: A pair at the threshold is missed by its parts once in so many; pairs of more similar sets hardly ever.
 MISSED = 10**7
 #: In bands of sets of up to so many n-grams, sets are found by their subsets instead.
 TINY = 7
+#: Parts before one that it tells of, and bits of each: BEFORE * BITS + 2 fit an int.
+BEFORE, BITS = 3, 9
 WORDS = 8
-#: N-grams, of 8 bytes, on either side of a cell of pairs that are verified together.
+#: Bytes of an n-gram's hash when sets are sent to be compared.
+GRAM_BYTES = 6
+#: N-grams on either side of a cell of pairs that are verified together.
 CELL_GRAMS = 1 << 22
+#: Pairs of a cell, about.
+CELL_PAIRS = 1 << 18
 _SALT = np.uint64(0xA5A5A5A5A5A5A5A5)
 
 
@@ -38,11 +46,12 @@ def edges(threshold: float, top: int = 1 << 40) -> list[int]:
 def parts_needed(threshold: float) -> int:
     """Parts by which a set is found, so that sets at the threshold differ in all of them once in MISSED.
 
-    A part is of use if the difference leaves it untouched and it holds two elements or more.
+    A part is of use if the difference leaves it untouched and it holds STRONG elements or more. Sets at
+    the lower end of their band have smaller parts, for which more are taken.
     """
     other, common = MEAN * 2 * (1 - threshold) / (1 + threshold), MEAN * 2 * threshold / (1 + threshold)
-    use = math.exp(-other) * (1 - math.exp(-common) * (1 + common))
-    return math.ceil(-1.1 * math.log(MISSED) / math.log(1 - use))
+    use = math.exp(-other) * (1 - math.exp(-common) * sum(common**i / math.factorial(i) for i in range(STRONG)))
+    return math.ceil(-1.35 * math.log(MISSED) / math.log(1 - use))
 
 
 def _subset_keys(h: np.ndarray, off: np.ndarray, row: np.ndarray, level: int, threshold: float) -> tuple[np.ndarray, np.ndarray]:
@@ -60,20 +69,21 @@ def _subset_keys(h: np.ndarray, off: np.ndarray, row: np.ndarray, level: int, th
 
 
 def part_keys(h: np.ndarray, off: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(row, key, tag) of the sketch parts that each set is found by; tag is 4 * the part before + role.
+    """(row, key, tag) of the sketch parts that each set is found by; tag has the role and the parts before.
 
     A sketch has 2**16 bits a part; each element flips one. A part is known by the XOR of codes of
     its set bits, so equal parts have equal keys. Parts in which the sets don't differ are equal. Role
     is 1 for the band of the set, 2 for the band below. Sketches of few elements have few parts, so
-    there are several of them, of other hashes. The part before, as 29 bits of its key, is 0 if
-    there's none: two sets need be paired only at the first of several equal parts in a row.
+    there are several of them, of other hashes. Of each of the BEFORE parts before a tag has BITS bits of
+    the key, 0 if there's none: two sets need be paired only where none of these is equal, as
+    none is at their first equal part.
     """
     n = np.diff(off)
     wanted = parts_needed(threshold)
     bounds = np.array(edges(threshold))
     band = np.searchsorted(bounds, n, "right") - 1
     spread = mix(h ^ _SALT)
-    code = mix((spread & np.uint64(0xFFFF)) + np.uint64(1))
+    bit = mix((spread & np.uint64(0xFFFF)) + np.uint64(1))
     row_of = np.repeat(np.arange(len(n)), n)
     rows, keys, tags = [], [], []
     for level in np.unique(np.concatenate((band[n > 0], band[n > 0] - 1))).tolist():
@@ -90,7 +100,7 @@ def part_keys(h: np.ndarray, off: np.ndarray, threshold: float) -> tuple[np.ndar
         parts = -(-most // MEAN)
         many = -(-wanted // parts)
         mine = use[row_of]
-        sp, cd, rw = spread[mine], code[mine], row_of[mine]
+        sp, cd, rw = spread[mine], bit[mine], row_of[mine]
         slots, codes = [], []
         for f in range(many):
             high = (sp if not f else mix(sp + np.uint64(f))) >> np.uint64(32)
@@ -104,16 +114,19 @@ def part_keys(h: np.ndarray, off: np.ndarray, threshold: float) -> tuple[np.ndar
         order = np.argsort(slot, kind="stable")
         slot, c = slot[order], c[order]
         at = np.flatnonzero(np.concatenate(([True], slot[1:] != slot[:-1])))
-        strong = np.diff(np.append(at, len(slot))) > 1
+        strong = np.diff(np.append(at, len(slot))) >= STRONG
         s = slot[at]
         key = mix(np.bitwise_xor.reduceat(c, at) ^ mix((s % (many * parts) + (level << 40)).astype(np.uint64)))
+        code = 1 + (key % np.uint64((1 << BITS) - 1)).astype(np.int64)
         before = np.zeros(len(s), np.int64)
-        follows = strong[:-1] & (s[1:] == s[:-1] + 1) & (s[1:] % parts > 0)
-        before[1:][follows] = (key[:-1][follows] & np.uint64((1 << 29) - 1)).astype(np.int64)
+        for back in range(1, BEFORE + 1):
+            for far in range(1, back + 1):  # the part so far back is at most as many entries back
+                follows = strong[:-far] & (s[far:] == s[:-far] + back) & (s[far:] % parts >= back)
+                before[far:][follows] |= code[:-far][follows] << (2 + BITS * (back - 1))
         r = s[strong] // (many * parts)
         rows.append(r)
         keys.append(key[strong])
-        tags.append((before[strong] * 4 + np.where(band[r] == level, 1, 2)).astype(np.int32))
+        tags.append((before[strong] | np.where(band[r] == level, 1, 2)).astype(np.int32))
     if not rows:
         z = np.zeros(0, np.int64)
         return z, z, z.astype(np.int32)
@@ -172,12 +185,21 @@ def sketches(rows: DataFrame, ngram: int, threshold: float) -> DataFrame:
     return by_slice(rows, make, f"doc_id long, row long, whole long, n long, {', '.join(f'{x} long' for x in sk)}, key array<long>, tag array<int>")
 
 
-def _gram_sets(rows: DataFrame, wanted: DataFrame, ngram: int) -> DataFrame:
-    """(whole, grams) of the sets of wanted (doc_id, row, whole), each once.
+def packed(h: np.ndarray, off: np.ndarray) -> pa.Array:
+    """Each row's hashes, cut to GRAM_BYTES, as a binary."""
+    raw = np.ascontiguousarray(h.view(np.uint8).reshape(-1, 8)[:, :GRAM_BYTES])
+    return pa.Array.from_buffers(pa.binary(), len(off) - 1, [None, pa.py_buffer((off * GRAM_BYTES).astype(np.int32).tobytes()), pa.py_buffer(raw.tobytes())])
+
+
+def unpacked(raw: bytes) -> np.ndarray:
+    out = np.zeros((len(raw) // GRAM_BYTES, 8), np.uint8)
+    out[:, :GRAM_BYTES] = np.frombuffer(raw, np.uint8).reshape(-1, GRAM_BYTES)
+    return np.sort(out.view(np.uint64).reshape(-1))
 
-    Most texts that aren't wanted are passed over by a filter of bounded size; the join is exact.
-    """
-    keep = id_filter(wanted.select(F.xxhash64("doc_id", "row").alias("id")))
+
+def _gram_sets(rows: DataFrame, holders: DataFrame, ngram: int) -> DataFrame:
+    """(whole, grams) of the texts of holders (doc_id, row), and of a few others, which a filter of bounded size lets pass."""
+    keep = id_filter(holders.select(F.xxhash64("doc_id", "row").alias("id")))
 
     def make():
         fresh = fresh_ids()
@@ -190,75 +212,106 @@ def _gram_sets(rows: DataFrame, wanted: DataFrame, ngram: int) -> DataFrame:
             h, _, off = distinct_shingles(part.column(1), ngram)
             whole = whole_hashes(h, off)
             ok = pa.array((np.diff(off) > 0) & fresh(whole))
-            return pa.RecordBatch.from_arrays([pa.array(whole), list_column(h.view(np.int64), off, pa.int64())], names=["whole", "grams"]).filter(ok)
+            return pa.RecordBatch.from_arrays([pa.array(whole), packed(h, off)], names=["whole", "grams"]).filter(ok)
 
         return run
 
-    made = by_slice(rows.withColumn("id", F.xxhash64("doc_id", "row")), make, "whole long, grams array<long>")
-    return made.join(wanted.select(F.col("whole").alias("want")), F.col("whole") == F.col("want"), "left_semi").dropDuplicates(["whole"])
+    return by_slice(rows.withColumn("id", F.xxhash64("doc_id", "row")), make, "whole long, grams binary")
 
 
 def _cells(near: DataFrame) -> DataFrame:
     """(hi, lo, cell): pairs (hi, lo, n), n the n-grams of both, of one group of copies share cells.
 
     A group is known by the least partner of the pair's smaller id. So a set is sent about once for
-    a group of up to CELL_GRAMS, not once for each of its pairs; a larger group is cut into squares.
+    a group of up to CELL_GRAMS and CELL_PAIRS, not once for each of its pairs; a larger group is cut
+    into squares.
     """
     least = near.groupBy("hi").agg(F.min("lo").alias("m")).withColumnRenamed("hi", "lo")
     pairs = near.join(least, "lo", "left").select("hi", "lo", "n", F.coalesce("m", "lo").alias("g"))
-    many = pairs.groupBy("g").agg(F.ceil(F.sqrt(2.0 * F.count("*")) * F.avg("n") / 2 / CELL_GRAMS).alias("k"))
+    many = pairs.groupBy("g").agg(F.ceil(F.greatest(F.sqrt(2.0 * F.count("*")) * F.avg("n") / 2 / CELL_GRAMS, F.sqrt(F.count("*") / CELL_PAIRS))).alias("k"))
     side = lambda c: F.pmod(F.xxhash64(c), F.col("k"))
     return pairs.join(many, "g").select("hi", "lo", F.xxhash64("g", side("hi"), side("lo")).alias("cell"))
 
 
-def _verified(cells: DataFrame, grams: DataFrame, threshold: float) -> DataFrame:
-    """(hi, lo, jaccard) of the pairs that reach the threshold.
+def _verified(cells: DataFrame, grams: DataFrame, threshold: float, links: bool) -> DataFrame:
+    """(hi, lo, jaccard) of the pairs that reach the threshold; or of each set of a cell that is linked in it
+    (whole, root, n_links), root one set for all that the cell's links connect.
 
     A cell's sets come first, then its pairs; a cell's sets are in memory together.
     """
     wanted = cells.select("cell", F.explode(F.array("hi", "lo")).alias("whole")).distinct()
-    sets = grams.join(wanted, "whole").select("cell", F.lit(0).alias("kind"), F.col("whole").alias("hi"), F.lit(None).cast("long").alias("lo"), "grams")
-    rows = sets.unionByName(cells.select("cell", F.lit(1).alias("kind"), "hi", "lo", F.lit(None).cast("array<long>").alias("grams")))
+    sets = grams.join(wanted.hint("shuffle_hash"), "whole").select("cell", F.lit(0).alias("kind"), F.col("whole").alias("hi"), F.lit(None).cast("long").alias("lo"), "grams")
+    rows = sets.unionByName(cells.select("cell", F.lit(1).alias("kind"), "hi", "lo", F.lit(None).cast("binary").alias("grams")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cell, held = None, {}
+        over: list[tuple[int, int, int]] = []  # of closed cells
+        root: dict[int, int] = {}
+        count: dict[int, int] = {}
+
+        def find(x: int) -> int:
+            while (up := root.setdefault(x, x)) != x:
+                root[x] = x = root[up]
+            return x
+
+        def close() -> None:
+            over.extend((x, find(x), n) for x, n in count.items())
+            root.clear()
+            count.clear()
+
+        def flush() -> pa.RecordBatch:
+            out = pa.RecordBatch.from_arrays([pa.array([x[i] for x in over], pa.int64()) for i in range(3)], names=["whole", "root", "n_links"])
+            over.clear()
+            return out
+
         for b in batches:
             cs, kinds, his, los = (b.column(i).fill_null(0).to_numpy(zero_copy_only=False) for i in range(4))
-            lists = b.column(4)
-            off = lists.offsets.to_numpy().astype(np.int64)
-            values = lists.values.to_numpy(zero_copy_only=False)
+            sets = b.column(4)
             hi, lo, got = [], [], []
             for i, (c, kind, d, o) in enumerate(zip(cs.tolist(), kinds.tolist(), his.tolist(), los.tolist(), strict=True)):
                 if c != cell:
+                    close()
                     cell, held = c, {}
                 if not kind:
-                    held[d] = np.sort(values[off[i] : off[i + 1]])
+                    if d not in held:
+                        held[d] = unpacked(sets[i].as_buffer())
                     continue
                 p, q = held[d], held[o]
                 if len(p) > len(q):
                     p, q = q, p
                 common = int((q[np.minimum(np.searchsorted(q, p), len(q) - 1)] == p).sum())
                 j = common / (len(p) + len(q) - common)
-                if j >= threshold - 1e-12:
+                if j < threshold - 1e-12:
+                    continue
+                if links:
+                    count[d] = count.get(d, 0) + 1
+                    count[o] = count.get(o, 0) + 1
+                    root[find(d)] = find(o)
+                else:
                     hi.append(d)
                     lo.append(o)
                     got.append(j)
-            yield pa.RecordBatch.from_arrays([pa.array(hi, pa.int64()), pa.array(lo, pa.int64()), pa.array(got, pa.float64())], names=["hi", "lo", "jaccard"])
+            yield flush() if links else pa.RecordBatch.from_arrays([pa.array(hi, pa.int64()), pa.array(lo, pa.int64()), pa.array(got, pa.float64())], names=["hi", "lo", "jaccard"])
+        if links:
+            close()
+            yield flush()
 
-    return rows.repartition("cell").sortWithinPartitions("cell", "kind").mapInArrow(run, "hi long, lo long, jaccard double")
+    return rows.repartition("cell").sortWithinPartitions("cell", "kind").mapInArrow(run, "whole long, root long, n_links long" if links else "hi long, lo long, jaccard double")
 
 
-def _linked(rows: DataFrame, ngram: int, threshold: float) -> tuple[DataFrame, DataFrame]:
-    """(doc_id, row, whole) of each text with words, and the pairs (hi, lo, jaccard) of sets, each by its whole."""
+def _linked(rows: DataFrame, ngram: int, threshold: float, links: bool) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, row, whole) of each text with words, and what _verified has of the sets, each by its whole."""
     if not 0.5 <= threshold <= 0.99:
         raise ValueError("threshold must be from 0.5 to 0.99")
     sets = written(sketches(rows, ngram, threshold), "sketches")
     once = sets.where("n IS NOT NULL")
     keyed = once.select("whole", F.explode(F.arrays_zip("key", "tag")).alias("x")).select("x.key", "whole", "x.tag").repartition("key").groupBy("key", "whole").agg(F.min("tag").alias("tag"))
     a, b = keyed.alias("a"), keyed.alias("b")
-    before = F.shiftright("a.tag", 2) != F.shiftright("b.tag", 2)
-    meet = (F.col("a.key") == F.col("b.key")) & (F.col("a.whole") > F.col("b.whole")) & (F.col("a.tag").bitwiseOR(F.col("b.tag")).bitwiseAND(1) == 1) & (before | (F.shiftright("a.tag", 2) == 0))
-    found = written(a.join(b, meet).select(F.col("a.whole").alias("hi"), F.col("b.whole").alias("lo")).distinct(), "sketch-candidates")
+    part = lambda t, i: F.shiftright(f"{t}.tag", 2 + BITS * i).bitwiseAND((1 << BITS) - 1)
+    first = reduce(lambda x, y: x & y, [(part("a", i) != part("b", i)) | (part("a", i) == 0) for i in range(BEFORE)])
+    meet = (F.col("a.key") == F.col("b.key")) & (F.col("a.whole") > F.col("b.whole")) & (F.col("a.tag").bitwiseOR(F.col("b.tag")).bitwiseAND(1) == 1) & first
+    # sent by hi, for the join with its sketch too
+    found = a.join(b, meet).select(F.col("a.whole").alias("hi"), F.col("b.whole").alias("lo")).repartition("hi").groupBy("hi", "lo").agg(F.count("*").alias("times")).drop("times")
     light = once.groupBy("whole").agg(F.any_value("n").alias("n"), *(F.any_value(f"s{i}").alias(f"s{i}") for i in range(WORDS)))
     side = lambda name: light.select(F.col("whole").alias(name), *(F.col(c).alias(f"{name}_{c}") for c in light.columns[1:]))
     both = found.join(side("hi"), "hi").join(side("lo"), "lo")
@@ -266,11 +319,11 @@ def _linked(rows: DataFrame, ngram: int, threshold: float) -> tuple[DataFrame, D
     total, least, greatest = F.col("hi_n") + F.col("lo_n"), F.least("hi_n", "lo_n"), F.greatest("hi_n", "lo_n")
     most = F.floor(total * ((1 - threshold) / (1 + threshold)) + 1e-9)
     near = written(both.where((far <= most) & (least >= greatest * threshold - 1e-9)).select("hi", "lo", total.alias("n")), "sketch-pairs")
+    cells = written(_cells(near), "sketch-cells")
     ids = near.select(F.explode(F.array("hi", "lo")).alias("want")).distinct()
     holders = sets.groupBy("whole").agg(F.min(F.struct("doc_id", "row")).alias("x"))
-    wanted = written(holders.join(ids, holders["whole"] == ids["want"], "left_semi").select("whole", "x.doc_id", "x.row"), "sketch-wanted")
-    grams = written(_gram_sets(rows, wanted, ngram), "gram-sets")
-    return sets.select("doc_id", "row", "whole"), written(_verified(_cells(near), grams, threshold), "similar-sets")
+    grams = _gram_sets(rows, holders.join(ids, holders["whole"] == ids["want"], "left_semi").select("x.doc_id", "x.row"), ngram)
+    return sets.select("doc_id", "row", "whole"), written(_verified(cells, grams, threshold, links), "similar-sets")
 
 
 def _rows(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -279,10 +332,10 @@ def _rows(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 def _classes(rows: DataFrame, ngram: int, threshold: float) -> DataFrame:
     """(doc_id, row, class_id, n_links, n_equal) of each text with words."""
-    sets, pairs = _linked(rows, ngram, threshold)
+    sets, linked = _linked(rows, ngram, threshold, True)
     sets = sets.distinct()
-    links = pairs.select(F.explode(F.array("hi", "lo")).alias("whole")).groupBy("whole").agg(F.count("*").alias("n_links"))
-    root = components(pairs, "hi", "lo")
+    links = linked.groupBy("whole").agg(F.sum("n_links").alias("n_links"))
+    root = components(linked, "whole", "root")
     groups = sets.groupBy("whole").agg(F.min("doc_id").alias("least"), F.count("*").alias("n_equal"))
     groups = groups.join(links, "whole", "left").join(root.withColumnRenamed("doc_id", "whole"), "whole", "left")
     groups = written(groups.select("whole", "least", "n_equal", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("root", "whole").alias("root")), "set-groups")
@@ -318,7 +371,7 @@ def similar_pairs(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     A pair of sets is a row, so links grow with the square of the versions of a text. Rows are treated
     as jaccard_join says; two sets of the same smallest doc_id, as an id repeats, are a row of that id twice.
     """
-    sets, pairs = _linked(_rows(df, id_col, text_col), ngram, threshold)
+    sets, pairs = _linked(_rows(df, id_col, text_col), ngram, threshold, False)
     rep = sets.groupBy("whole").agg(F.min("doc_id").alias("rep"))
     named = lambda c: rep.select(F.col("whole").alias(c), F.col("rep").alias(f"{c}_rep"))
     both = pairs.join(named("hi"), "hi").join(named("lo"), "lo")

@@ -79,7 +79,10 @@ def test_no_pair_at_the_threshold_is_missed():
         row, key, tag = jaccard.part_keys(np.concatenate(sets), off, 0.7)
         order = np.lexsort((tag & 3, row, key))
         row, key, tag = row[order], key[order], tag[order]
-        met = (key[1:] == key[:-1]) & (row[1:] == row[:-1] + 1) & (row[1:] % 2 == 1) & ((tag[1:] | tag[:-1]) & 1 == 1) & ((tag[1:] >> 2 != tag[:-1] >> 2) | (tag[1:] >> 2 == 0))
+        met = (key[1:] == key[:-1]) & (row[1:] == row[:-1] + 1) & (row[1:] % 2 == 1) & ((tag[1:] | tag[:-1]) & 1 == 1) 
+        for i in range(jaccard.BEFORE):
+            x, y = (t >> (2 + jaccard.BITS * i) & (1 << jaccard.BITS) - 1 for t in (tag[1:], tag[:-1]))
+            met &= (x != y) | (x == 0)
         missed += want - len(np.unique(row[1:][met]))
         total += want
     assert total > 5000 and not missed, (missed, total)
@@ -117,8 +120,11 @@ def test_cells_of_any_size_give_the_same(spark, monkeypatch):
     rows = make(random.Random(5), 150)
     df = spark.createDataFrame(rows, "doc_id long, text string")
     want = {tuple(x) for x in jaccard.similar_pairs(df).collect()}
+    classes = {tuple(x) for x in jaccard.jaccard_join(df).collect()}
     monkeypatch.setattr(jaccard, "CELL_GRAMS", 50)
     assert {tuple(x) for x in jaccard.similar_pairs(df).collect()} == want and len(want) > 50
+    monkeypatch.setattr(jaccard, "CELL_PAIRS", 3)
+    assert {tuple(x) for x in jaccard.jaccard_join(df).collect()} == classes
 
 
 def test_filter_passes_every_hash(spark):
