@@ -235,15 +235,16 @@ def sharded(docs: DataFrame, shards: int) -> DataFrame:
     return dealt.repartition(shards, "shard").sortWithinPartitions("shard", "doc_id", row)
 
 
-def train(docs: DataFrame, known: np.ndarray, rank: np.ndarray, flat: np.ndarray, rate: float = RATE, codes: int = CODES) -> np.ndarray:
+def train(docs: DataFrame, known: np.ndarray, rank: np.ndarray, flat: np.ndarray, rate: float = RATE, codes: int = CODES, shards: int = 1) -> np.ndarray:
     """Weights after a pass over docs as sharded: each shard trains a copy on all its texts, then all are averaged.
 
     Batches are so many words of a shard, in its order, so the weights don't depend on how the rows are
     partitioned. Weights travel in blocks of rows, of the embeddings only those that a shard has
-    changed; each block is averaged by one task, so the driver gets one set, not one a shard.
+    changed; each block is averaged by one task, so the driver gets one set, not one a shard. There are
+    as many blocks as shards, so what a task reads doesn't grow with them.
     """
     ends = 2 * SIDE * (codes + 1) * WIDTH  # of the embeddings
-    edges = np.append(np.linspace(0, ends // WIDTH, _BLOCKS + 1).astype(int) * WIDTH, len(flat))
+    edges = np.append(np.linspace(0, ends // WIDTH, max(_BLOCKS, min(shards, ends // WIDTH // 4)) + 1).astype(int) * WIDTH, len(flat))
     names = ["block", "part", "n", "at", "w"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -309,7 +310,7 @@ def trained(docs: DataFrame, *, epochs: int = EPOCHS, frequent: int = FREQUENT,
     flat = Window.fresh(per, seed)
     shards = max(1, -(-int(per.sum()) // SHARD_WORDS))
     for _ in range(epochs):
-        flat = train(sharded(docs, shards), known, rank, flat, rate, codes)
+        flat = train(sharded(docs, shards), known, rank, flat, rate, codes, shards)
     return counts, known, rank, per, flat
 
 

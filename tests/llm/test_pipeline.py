@@ -49,3 +49,27 @@ def test_empty(spark, tmp_path):
     t = pa.table({"doc_id": pa.array([], pa.int64()), "text": pa.array([], pa.string()), "lang": pa.array([], pa.string()), "source": pa.array([], pa.string()), "n_chars": pa.array([], pa.int64())})
     pq.write_table(t, os.path.join(tmp_path, "documents.parquet"))
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_nulls_repeats_long_texts_and_clashing_columns(spark):
+    rows = _docs()
+    text = {r[0]: r[1] for r in rows}
+    other = text[5][::-1]
+    rows = [(r[0], r[1], "x", 1, 2, "g") for r in rows]
+    rows += [(None, text[7], "x", 1, 2, "g"), (None, None, "x", 1, 2, "g"), (9, text[9], "x", 1, 2, "g"), (10, other, "x", 1, 2, "g")]
+    long = "\n".join(f"{random.Random(i).getrandbits(60):x} line {i} of a long text" for i in range(4000))
+    rows += [(300, long, "x", 1, 2, "g")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, gone string, key int, row long, part string")
+    columns = docs.columns
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        docs = stage(spark, docs, "")
+        assert docs.columns == columns, name
+        docs = spark.createDataFrame(docs.collect(), docs.schema)
+    left = [(x["doc_id"], x["text"]) for x in docs.collect()]
+    assert (None, text[7]) in left and left.count((9, text[9])) == 2 and (10, other) in left and (10, text[10]) in left
+    assert any(d == 300 and len(t) > 0.9 * len(long) for d, t in left)
+    packed = corpus_pipeline.STAGES[-1][1](spark, docs, "").collect()
+    assert {x["doc_id"] for x in packed} == {d for d, t in left if t}
+    empty = docs.limit(0)
+    for _, stage in corpus_pipeline.STAGES:
+        assert stage(spark, empty, "").count() == 0
