@@ -57,10 +57,10 @@ def store_samples(spark, sf):
     return s.resolve_update(CUSTOMER.key, samples=samples).changes().select("c_custkey", "status")
 
 
-@query("SELECT o_orderkey, 'new' AS status FROM orders WHERE o_orderstatus = 'P' AND o_totalprice > 100000 AND o_orderkey % 2 = 0")
+@query("SELECT o_orderkey, 'new' AS status FROM orders WHERE (o_orderstatus = 'P' OR o_orderkey <= 1000) AND o_totalprice > 100000 AND o_orderkey % 2 = 0")
 def store_filters(spark, sf):
-    """Filters on a parent, on all, and on the feature's own rows."""
-    s = _ordered(spark, sf, "filters").resolve_update(ORDER_VIEW.key, filters={ORDER.key: "o_totalprice > 100000"}, global_filters=F.expr("o_orderkey % 2 = 0"), target_filters="o_orderkey > 0")
+    """Filters on a parent, on all, and on the feature's own rows, of which the first are passed over, so new."""
+    s = _ordered(spark, sf, "filters").resolve_update(ORDER_VIEW.key, filters={ORDER.key: "o_totalprice > 100000"}, global_filters=F.expr("o_orderkey % 2 = 0"), target_filters="o_orderkey > 1000")
     return s.changes().where("status = 'new'").select("o_orderkey", "status")
 
 
