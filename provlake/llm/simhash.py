@@ -91,7 +91,7 @@ def near_fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "te
     placed = reps.select("fingerprint", "rep", F.posexplode(F.array(*[own(mask, flip) for *_, mask, flip in each])).alias("i", "key"))
     at = lambda k: F.element_at(F.expr(f"array({','.join(str(x[k]) for x in each)})"), F.col("i") + 1)
     keyed = placed.select(F.xxhash64(at(0), "key").alias("key"), at(1).cast("short").alias("f"), "fingerprint", "rep")
-    a, b = keyed.alias("a"), keyed.alias("b")
+    a, b = keyed.alias("a"), keyed.alias("b").hint("merge")  # by its estimate, that of reps, Spark would send all keys through the driver
     far = F.bit_count(F.col("a.fingerprint").bitwiseXOR(F.col("b.fingerprint")))
     pairs = a.join(b, (F.col("a.key") == F.col("b.key")) & ((F.col("a.f") == 0) | (F.col("a.f") < F.col("b.f"))) & (F.col("a.rep") > F.col("b.rep")) & (far <= radius))
     pairs = pairs.select(F.col("a.rep").alias("doc_id"), F.col("b.rep").alias("match_id"), far.cast("int").alias("distance"), F.col("a.fingerprint").alias("fingerprint")).distinct()

@@ -94,3 +94,15 @@ def test_near_copies_are_found_by_default(spark):
     got = [(x[0], x[1]) for x in simhash.near_fingerprints(df).collect()]
     assert len(got) == len(set(got)) and set(got) == want
     assert sum((2 * i + 1, 2 * i) in want for i in range(60)) > 48
+
+
+def test_keys_are_not_broadcast(spark):
+    r = random.Random(5)
+    df = spark.createDataFrame([(i, " ".join(f"w{r.randrange(4000)}" for _ in range(8))) for i in range(2000)], "doc_id long, text string")
+    key = "spark.sql.maxBroadcastTableSize"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "4m")  # 2000 fingerprints fit it, their 67 keys each don't
+    try:
+        assert simhash.near_fingerprints(df).count() >= 0
+    finally:
+        spark.conf.set(key, before)
