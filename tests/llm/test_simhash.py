@@ -106,3 +106,70 @@ def test_keys_are_not_broadcast(spark):
         assert simhash.near_fingerprints(df).count() >= 0
     finally:
         spark.conf.set(key, before)
+
+
+def test_ties_are_ties():
+    r = random.Random(6)
+    some = [" ".join(f"w{r.randrange(9)}" for _ in range(r.randint(4, 40))) for _ in range(2000)]
+    from provlake.llm.common import distinct_shingles
+
+    h, tf, off = distinct_shingles(pa.array(some), simhash.SHINGLE)
+    weight = [round((1 + np.log(t)) * (1 << 20)) for t in tf]
+    want = []
+    for i in range(len(some)):
+        own = range(off[i], off[i + 1])
+        want.append(sum(1 << b for b in range(64) if sum(weight[k] * (1 if int(h[k]) >> b & 1 else -1) for k in own) > 0))
+    assert [int(x) & (1 << 64) - 1 for x in simhash.simhash_rows(pa.array(some))[0]] == want
+
+
+def test_documents_equal_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "VOTES", 7)
+    r = random.Random(7)
+    rows = list(enumerate(texts(r)))
+    rows += [(900, rows[0][1]), (901, rows[0][1].upper()), (5, rows[5][1]), (902, None), (903, ""), (None, rows[0][1]), (6, rows[9][1]), (6, rows[5][1] + " more"), (7, rows[7][1] + " more")]
+    df = spark.createDataFrame([(*x, 1, 2) for x in rows], "doc_id long, text string, class_id int, fingerprint int")
+    nodes = {}
+    for d, t in rows:
+        if d is not None and t:
+            nodes.setdefault(int(simhash.simhash_rows(pa.array([t]))[0][0]), set()).add(d)
+    for radius, blocks in ((8, 3), (14, 4)):
+        near = {f: [g for g in nodes if g != f and int(np.bitwise_count(np.uint64((f ^ g) & (1 << 64) - 1))) <= radius] for f in nodes}
+        root = {}
+        for f in nodes:
+            seen, todo = {f}, [f]
+            while todo:
+                for g in near[todo.pop()]:
+                    if g not in seen:
+                        seen.add(g)
+                        todo.append(g)
+            root[f] = min(d for g in seen for d in nodes[g])
+        want = sorted((d, root[f], len(near[f]), len(nodes[f]), d == root[f], f) for f in nodes for d in nodes[f])
+        assert sorted(tuple(x) for x in simhash.near_documents(df, radius=radius, blocks=blocks).collect()) == want
+        pairs = sorted((*sorted((min(nodes[f]), min(nodes[g])), reverse=True), 1) for f in nodes for g in near[f] if f > g)
+        got = simhash.near_fingerprints(df, radius=radius, blocks=blocks).where("distance > 0").collect()
+        assert sorted((x[0], x[1], 1) for x in got) == pairs
+    assert any(x[2] > 1 for x in want) and (7, 7, 1) in pairs
+    assert simhash.near_documents(df.limit(0)).count() == 0
+
+
+def test_query_has_a_row_a_document(spark, tmp_path):
+    from provlake.llm.queries import QUERIES
+
+    r = random.Random(8)
+    base = [f"w{r.randrange(4000)}" for _ in range(300)]
+    rows = [(i, " ".join([*base[:i], f"z{i}", *base[i + 1 :]])) for i in range(80)]  # versions, nearly all of them linked
+    spark.createDataFrame([*rows, (80, rows[0][1]), (81, None)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = QUERIES["op9_document_fingerprints"](spark, str(tmp_path)).collect()
+    assert sorted(x["doc_id"] for x in got) == list(range(81))
+    assert sum(x["n_links"] for x in got) > 81 * 20
+
+
+def test_summed_links_go_out_in_pieces(spark, monkeypatch):
+    df = spark.createDataFrame([(i, " ".join(f"w{(i // 4) * 50 + k}" for k in range(40)) + f" z{i}") for i in range(80)], "doc_id long, text string")
+    want = sorted(tuple(x) for x in simhash.near_documents(df).collect())
+    monkeypatch.setattr(simhash, "HELD", 1)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "3")
+    try:
+        assert sorted(tuple(x) for x in simhash.near_documents(df).collect()) == want
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
